@@ -114,19 +114,19 @@ def phases(rated: DataFrame, sources: DataFrame) -> DataFrame:
     return got.groupBy("sid").agg(F.min(F.struct(F.abs(F.col("got") - F.col("target")), "phase"))["phase"].alias("phase"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3, text: str = "text", source: str = "source", key: str = "doc_id", carry: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of ``docs`` with copies (how often the mix takes it), rate, size, source_size and target.
 
     Sources in code-point order, null last, weigh ``weights``, repeating, and share all words. Null text: size 0. A document
     without words gets no copies, as does every document of a source without words. Repeated rows are rounded one by one,
     in an order that ties can't change (key, then a hash of the text; rows equal in both are interchangeable). An empty table
-    gives an empty result. All input columns are kept; those with names of the result's own are replaced.
+    gives an empty result. The columns ``carry`` are kept (all, if None; fewer
+    move fewer bytes); those with names of the result's own are replaced.
     """
     own = ["size", "source_size", "target", "rate", "copies"]
-    held = docs.select(F.struct(*[c for c in docs.columns if c not in own]).alias("row"))
-    base = held.select(
-        "row", word_count(F.col(f"row.{text}")).alias("size"), F.col(f"row.{source}").alias("source"),
-        F.xxhash64(F.col(f"row.{key}"), F.col(f"row.{text}")).alias("mark"), F.col(f"row.{key}").alias("key"),
+    base = docs.select(
+        F.struct(*[c for c in (docs.columns if carry is None else carry) if c not in own]).alias("row"), word_count(F.col(text)).alias("size"),
+        F.col(source).alias("source"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(key).alias("key"),
     )
     by_source = base.groupBy("source", "size").agg(F.count("*").alias("c"))
     by_source = cut(by_source)

@@ -96,7 +96,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(y: np.ndarray, terms: list[np.ndarray], factors: int = 4, least: int = 5, z: float = 3.5, most: int = 4096, rounds: int = 250, l2: float = 2e-3, seed: int = 1) -> Machine:
+def fit(y: np.ndarray, terms: list[np.ndarray], factors: int = 4, least: int = 5, z: float = 3.5, most: int = 4096, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
     """Adam on the mean log loss with an L2 penalty; deterministic."""
     n, pos = len(y), float(y.sum())
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
