@@ -112,9 +112,9 @@ class Maker:
         if kind < 0.68:
             return f"<p><b>{text}<br>"
         if kind < 0.74:
-            return f"<h{r.randint(2, 4)}>{self.keep(self.words(1, 8))}</h2>" if r.random() < 0.2 else f"<h2>{self.keep(self.words(1, 8))}</h2><p>{text}</p>"
+            return f"<h{(n := r.randint(2, 4))}>{self.keep(self.words(1, 8))}</h{n}><p>{text}</p>"
         if kind < 0.80:
-            return f"<ul>{''.join(f'<li>{self.keep(self.words(2, 25))}</li>' for _ in range(r.randint(1, 6)))}</ul>"
+            return f"<ul>{''.join(f'<li>{self.keep(self.words(2, 25))}</li>' for _ in range(r.randint(1, 6)))}</ul><p>{text}</p>"
         if kind < 0.85:
             return f"<blockquote><p>{text}</p></blockquote>" if r.random() < 0.6 else f"<blockquote>{text}</blockquote>"
         if kind < 0.89:

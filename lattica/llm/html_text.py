@@ -28,7 +28,6 @@ from lattica.llm.trees import Trees, boost
 #: Tags with a feature of their own, some together.
 KINDS = (("#",), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl", "menu"), ("table", "tbody", "thead", "tr", "td", "th"), ("nav",), ("aside",), ("header", "hgroup"), ("footer",), ("article", "main"), ("section",), ("div",), ("form", "fieldset", "legend", "dialog"), ("blockquote", "pre", "figure", "figcaption"), ("", "html", "body"))
 _KIND = {t: i for i, ts in enumerate(KINDS) for t in ts}
-_MARKS = str.maketrans("", "", ".,;:!?")
 
 
 def _above(parent: np.ndarray, depth: np.ndarray, own: np.ndarray, least: bool) -> np.ndarray:
@@ -72,8 +71,7 @@ def features(nodes: Nodes, odds: dict[str, float]) -> np.ndarray:
     run = nodes.tag == 0
     chars, runs, linked, size = below(own), below(run), below(nodes.linked), (nodes.end - start).astype(float)
     words = below(np.array([t.count(" ") + 1 if t else 0 for t in nodes.text]))
-    marks = below(np.array([len(t) - len(t.translate(_MARKS)) if t else 0 for t in nodes.text]))
-    digits = below(np.array([sum(c.isdigit() for c in t[:400]) if t else 0 for t in nodes.text]))
+    marks = below(np.array([t.count(".") + t.count(",") if t else 0 for t in nodes.text]))
     rights = below(np.array(["©" in t or "·" in t for t in nodes.text]))
     paragraphs = below(np.where(run, own > 80, False))
     root = np.zeros(n, np.int64)
@@ -99,7 +97,7 @@ def features(nodes: Nodes, odds: dict[str, float]) -> np.ndarray:
     density = linked / np.maximum(chars, 1)
     cols = [nodes.tag == i for i in range(len(KINDS))] + [
         nodes.depth, log(kids), log(siblings), nodes.index / np.maximum(siblings, 1), same / np.maximum(siblings, 1),
-        log(chars), log(words), density, chars / size, log(runs), marks / np.maximum(words, 1), words / np.maximum(runs, 1), digits / np.maximum(chars, 1), rights > 0, log(paragraphs), chars / whole, before / whole,
+        log(chars), log(words), density, chars / size, log(runs), marks / np.maximum(words, 1), words / np.maximum(runs, 1), rights > 0, log(paragraphs), chars / whole, before / whole,
         log(around / each), log(last), log(following), log(chars) - log(around / each),
         density[nodes.parent], chars[nodes.parent] / whole, log(paragraphs[nodes.parent]),
         low, high, _above(nodes.parent, nodes.depth, low, True), _above(nodes.parent, nodes.depth, high, False),

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import mixing, near_dedup, quality, sharding, token_counts, toxicity
+from lattica.llm import fingerprints, html_text, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filter
 from lattica.session import table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -40,16 +44,27 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs).select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_next(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_text": op1_html_text,
     "op2_token_counts": op2_token_counts,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_ring_shards": op6_ring_shards,
+    "op7_fingerprints": op7_fingerprints,
+    "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
 }
 
