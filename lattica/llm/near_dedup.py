@@ -212,8 +212,9 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component; of rows that repeat its doc_id, all. Columns as before."""
-    judged = dedup(docs, shingle, percent).groupBy("doc_id").agg(F.max("kept").alias("__kept"))
-    out = docs.withColumn("__row", F.struct(*docs.columns)).select("__row", F.col("doc_id").cast("long").alias("__id"))
-    stays = judged.filter("__kept").select(F.col("doc_id").alias("__id"))
-    return out.join(stays, "__id", "left_semi").select("__row.*")
+    """The rows of ``docs`` that stay: one document of each component (all rows that repeat its doc_id) and all rows without a
+    doc_id, which nothing could name. Columns as before."""
+    stays = dedup(docs.select("doc_id", "text"), shingle, percent).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").cast("long").alias("__id"))
+    kept = rows.join(stays, "__id", "left_semi").select("__row.*")
+    return kept.union(docs.filter("doc_id is null"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import fingerprints, html_text, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filter
+from lattica.llm import decontamination, fingerprints, html_text, mixing, near_dedup, quality, sharding, token_counts, toxicity, url_filter
 from lattica.session import table
 
 
@@ -48,6 +48,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_next(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items).select("doc_id", "item_id", "start", "similarity")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -64,8 +69,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_ring_shards": op6_ring_shards,
     "op7_fingerprints": op7_fingerprints,
+    "op8_decontamination": op8_decontamination,
     "op9_url_filter": op9_url_filter,
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Words as the operators take them: A-Z as a-z, split at white space; a row a word.
+_WORDS = r"""words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i, len(w) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_near_dedup": f"""
+WITH RECURSIVE {_WORDS},
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, i, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS s FROM words)
+  WHERE i = 0 OR i + 5 <= n
+),
+size AS (SELECT doc_id, count(*) AS c FROM sh GROUP BY doc_id),
+common AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+own AS (SELECT sh.* FROM sh JOIN common USING (s)),
+inter AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM own a JOIN own b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM inter JOIN size x ON x.doc_id = u JOIN size y ON y.doc_id = v WHERE 100 * k >= 75 * (x.c + y.c - k)),
+edge AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edge.v FROM reach JOIN edge ON edge.u = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(size.c, 0)::BIGINT AS n_shingles, least.component_id, d.doc_id = least.component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
+""",
+    "op8_decontamination": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) AS len, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s, unnest(range(len(w) - 4)) AS pos FROM dw WHERE len(w) >= 5),
+its AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM iw WHERE len(w) >= 5),
+ic AS (SELECT item_id, n, s, count(*) AS c FROM its GROUP BY ALL),
+seed AS (SELECT ds.doc_id, ic.item_id, ic.n, ds.len, ds.pos FROM ds JOIN ic USING (s)),
+win AS (SELECT DISTINCT doc_id, item_id, n, least(n, len) - 4 AS total, least(pos, len - least(n, len)) AS start FROM seed),
+bag AS (SELECT w.doc_id, w.item_id, w.n, w.total, w.start, ds.s, count(*) AS c FROM win w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos >= w.start AND ds.pos < w.start + w.total GROUP BY ALL),
+both_ AS (SELECT b.doc_id, b.item_id, b.n, b.total, b.start, sum(least(b.c, ic.c))::BIGINT AS k FROM bag b JOIN ic ON ic.item_id = b.item_id AND ic.s = b.s GROUP BY ALL),
+sim AS (SELECT *, k::DOUBLE / (n - 4 + total - k) AS similarity FROM both_ WHERE 100 * k >= 75 * (n - 4 + total - k)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sim)
+SELECT doc_id, item_id, start::BIGINT AS start, similarity FROM best WHERE r = 1
+""",
+}
