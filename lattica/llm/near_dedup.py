@@ -10,11 +10,13 @@ the rest post under their rarest coordinates only; frequent lines and passages c
 
 Skip merging: a list's members are compared with its smallest member first (its head); verified pairs are merged into
 components. Then lists whose members are all in one component are skipped; in those left, members of different components
-are compared by their signatures, in blocks, and again only pairs with T collisions are verified. So no pair above the
-threshold that could still join two components is left out, and a group of near copies costs a row a member and list.
+are compared by their whole signatures, in blocks, each pair in one list only. Nearest first: rounds verify the ``NEAREST`` best
+partners of each member, merge, and the last round verifies every pair above the match threshold that still lies between two
+components. So no pair that could join two components is left out, and a group of near copies costs some rows a member.
 
-Verification reads both full texts and compares the full shingle sets: 100 * intersection >= 75 * union. With K = 64 and
-T = 32, two documents at similarity 0.75 fall below T with a probability of about 2e-6 (binomial tail).
+The posted coordinates are K = 64 with T = 32; whole signatures have ``MORE`` = 128 further ones (a byte each) and a threshold of
+``TOTAL`` = 120 of 192. Two documents at similarity 0.75 fall below T with a probability of about 2e-6, below the other with 2e-5
+(binomial tails). Verification reads both full texts and compares the full shingle sets: 100 * intersection >= 75 * union.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from lattica.session import cut
 
 COORDINATES = 64
 MATCHES = 32
+MORE = 128
+TOTAL = 120
+#: Partners of a member that a round verifies; the round after the last takes all.
+NEAREST = (2, 16)
 #: Partners of one head that are verified in one group.
 GROUP = 256
 #: Members of one list that are compared in one block.
@@ -41,7 +47,7 @@ BROADCAST_IDS = 2_000_000
 
 
 def _signatures(shingle: int, coordinates: int):
-    a, b = bytewords.seeds(coordinates, 41), bytewords.seeds(coordinates, 43)
+    a, b = bytewords.seeds(coordinates + MORE, 41), bytewords.seeds(coordinates + MORE, 43)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -50,30 +56,27 @@ def _signatures(shingle: int, coordinates: int):
                 n, full = np.diff(at), np.flatnonzero(np.diff(at))
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(bytewords.mix(s + c), dtype=np.uint64)]) for c in bytewords.seeds(2, 31)]
                 k1, k2 = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
-                sig = np.zeros((batch.num_rows, coordinates), np.int32)
+                sig, more = np.zeros((batch.num_rows, coordinates), np.int32), np.zeros((batch.num_rows, MORE), np.uint8)
                 step = 1 << 16
                 i = 0
                 while i < len(full):  # documents in blocks of about 2^16 shingles
                     j = max(i + 1, int(np.searchsorted(at[full], at[full[i]] + step)))
                     lo, hi = at[full[i]], at[full[j - 1] + 1]
                     part, heads = s[lo:hi], at[full[i:j]] - lo
-                    for k in range(coordinates):
-                        sig[full[i:j], k] = (np.minimum.reduceat(part * a[k] + b[k], heads) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for k in range(coordinates + MORE):
+                        low = np.minimum.reduceat(part * a[k] + b[k], heads)
+                        if k < coordinates:
+                            sig[full[i:j], k] = (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        else:
+                            more[full[i:j], k - coordinates] = (bytewords.mix(low) >> np.uint64(56)).astype(np.uint8)
                     i = j
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat], ["doc_id", "n", "k1", "k2", "sig"])
+                packed = pa.Array.from_buffers(pa.binary(), len(more), [None, pa.py_buffer(np.arange(0, more.size + 1, MORE, dtype=np.int32)), pa.py_buffer(more.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat, packed], ["doc_id", "n", "k1", "k2", "sig", "more"])
 
     return run
 
 
-def _collisions(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Equal coordinates of every row of x with every row of y."""
-    out = np.zeros((len(x), len(y)), np.int16)
-    for k in range(x.shape[1]):
-        out += x[:, k, None] == y[None, :, k]
-    return out
-
-
 def _verify(shingle: int, percent: int):
     """Rows (head, salt, kind, node, text) in order of head, salt, kind: kind 0 is the head itself. Yields verified pairs."""
 
@@ -102,26 +105,77 @@ def _verify(shingle: int, percent: int):
     return run
 
 
-def _cross(matches: int):
-    """Blocks of one posting list: pairs of different components with enough collisions."""
-
-    def run(key, frame):
-        import pandas as pd
-
-        x, y = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        one = x.empty or y.empty  # a block with itself
+def _pairs(block: dict[str, np.ndarray], total: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one block of a posting list, the pairs (smaller, larger node) of different components with enough collisions whose
+    first list in common is this one; of each node, the ``nearest`` best (0: all)."""
+    x, y = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
+    one = not len(x) or not len(y)  # a block with itself
+    if one:
+        x = y = np.arange(len(block["side"]))
+    node, component, sig, more, mask = (block[c] for c in ("node", "component", "sig", "more", "mask"))
+    here = int(block["list"][0] >> 32)
+    us, vs, ns = [], [], []
+    for i in range(0, len(x), 256):
+        p = x[i : i + 256]
+        hits = np.zeros((len(p), len(y)), np.int16)
+        for columns in (sig, more):
+            for k in range(columns.shape[1]):
+                hits += columns[p, k][:, None] == columns[y, k][None, :]
+        on = (hits >= total) & (component[p][:, None] != component[y][None, :])
         if one:
-            x = y = x if y.empty else y
-        a, b = np.stack(x["sig"].to_numpy()), np.stack(y["sig"].to_numpy())
-        ca, cb, na, nb = x["component"].to_numpy(), y["component"].to_numpy(), x["node"].to_numpy(), y["node"].to_numpy()
-        out = []
-        for i in range(0, len(a), 256):
-            hit = (_collisions(a[i : i + 256], b) >= matches) & (ca[i : i + 256, None] != cb[None, :])
-            if one:
-                hit &= na[i : i + 256, None] < nb[None, :]
-            p, q = np.nonzero(hit)
-            out.append(pd.DataFrame({"head": np.minimum(na[i + p], nb[q]), "node": np.maximum(na[i + p], nb[q])}))
-        return pd.concat(out)
+            on &= node[p][:, None] < node[y][None, :]
+        a, b = np.nonzero(on)
+        n, a, b = hits[a, b], p[a], y[b]
+        shared = (sig[a] == sig[b]) & ((((mask[a] & mask[b])[:, None] >> np.arange(sig.shape[1], dtype=np.uint64)[None, :]) & np.uint64(1)) == 1)
+        first = shared.argmax(1) == here
+        us.append(a[first])
+        vs.append(b[first])
+        ns.append(n[first])
+    a, b, n = np.concatenate(us), np.concatenate(vs), np.concatenate(ns)
+    if nearest and len(a):
+        keep = np.zeros(len(a), bool)
+        for side in (a, b):
+            order = np.lexsort((np.arange(len(a)), -n, side))
+            head = np.flatnonzero(np.diff(side[order], prepend=-1))
+            rank = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a))))
+            keep[order[rank < nearest]] = True
+        a, b = a[keep], b[keep]
+    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
+
+
+def _cross(total: int, nearest: int):
+    """Rows in order of list, x, y: the pairs of every block. A block is at most some thousand rows; one is held at a time."""
+
+    def table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {c: batch.column(c).to_numpy() for c in ("list", "x", "y", "side", "node", "component")}
+        out["mask"] = batch.column("mask").to_numpy().view(np.uint64)
+        out["sig"] = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
+        out["more"] = np.frombuffer(b"".join(batch.column("more").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+
+        def done():
+            block = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            held.clear()
+            return _pairs(block, total, nearest)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now, found = table(batch), []
+            moved = (np.diff(now["list"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0)
+            edges = np.concatenate([[0], np.flatnonzero(moved) + 1, [batch.num_rows]])
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                part = {c: v[i:j] for c, v in now.items()}
+                if held and any(held[0][c][0] != part[c][0] for c in ("list", "x", "y")):
+                    found.append(done())
+                held.append(part)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["head", "node"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in done()], ["head", "node"])
 
     return run
 
@@ -142,39 +196,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return rows.mapInArrow(_verify(shingle, percent), "u long, v long")
 
 
-def link(docs: DataFrame, shingle: int = 5, percent: int = 75, coordinates: int = COORDINATES, matches: int = MATCHES) -> tuple[DataFrame, DataFrame]:
+def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MATCHES, total: int = TOTAL) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of ``docs`` (doc_id, text).
 
     classes: (doc_id, n, k1, k2, rep) a row a document; rep is the smallest doc_id with the same shingle set. links: (u, v),
     verified pairs of representatives that connect every component of the similarity graph.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_signatures(shingle, coordinates), "doc_id long, n long, k1 long, k2 long, sig array<int>"))
+    rows = cut(docs.mapInArrow(_signatures(shingle, COORDINATES), "doc_id long, n long, k1 long, k2 long, sig array<int>, more binary"))
     sets = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     # a null doc_id can't represent: such a class links with nothing but itself
     reps = sets.filter("rep is not null").select(F.col("rep").alias("doc_id"), "k1", "k2")
-    signed = rows.filter("n > 1").join(reps, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(["node"])
+    signed = rows.filter("n > 1").join(reps, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "sig", "more").dropDuplicates(["node"])
 
     # posting lists: (coordinate, value) in one long
     posts = signed.select("node", F.posexplode("sig").alias("k", "value")).select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list"))
     shared = posts.groupBy("list").agg(F.count("*").alias("c")).filter("c > 1")
     ranked = posts.join(shared, "list").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "list"))).alias("lists"))
     keep = F.size("lists") - F.lit(matches - 1)  # the rarest K - T + 1, less the lists of one document
-    posted = ranked.filter(keep > 0).select("node", F.explode(F.slice("lists", F.lit(1), keep)).alias("p")).select("node", F.col("p.list").alias("list"))
-    posted = cut(posted)
+    kept = ranked.filter(keep > 0).select("node", F.transform(F.slice("lists", F.lit(1), keep), lambda p: p["list"]).alias("lists"))
+    # the posted coordinates as bits: a pair is judged in the first list that both are posted in
+    bit = lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int")))
+    posted = cut(kept.select("node", F.aggregate("lists", F.lit(0).cast("long"), bit).alias("mask"), F.explode("lists").alias("list")))
 
     heads = posted.groupBy("list").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1").select("list", "head")
     first = posted.join(heads, "list").filter("head <> node").select("head", "node").distinct()
     enough = F.size(F.filter(F.arrays_zip(F.col("sig").alias("x"), F.col("other").alias("y")), lambda z: z["x"] == z["y"])) >= matches
     pairs = (
-        first.join(signed, "node").withColumnRenamed("sig", "other")
-        .join(signed.withColumnRenamed("node", "head"), "head")
+        first.join(signed.select("node", "sig"), "node").withColumnRenamed("sig", "other")
+        .join(signed.select(F.col("node").alias("head"), "sig"), "head")
         .filter(enough).select("head", "node")
     )
     tried = cut(pairs)
     links = cut(_verified(tried, docs, shingle, percent))
 
-    while True:
+    for nearest in (*NEAREST, 0):
         found = components(links)
         at = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_lists = at.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
@@ -184,14 +240,15 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, coordinates: int
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
             .withColumn("side", (F.col("block") == F.col("y")).cast("int"))
-            .select("list", "x", "y", "side", "node", "component", "sig")
+            .select("list", "x", "y", "side", "node", "component", "mask", "sig", "more")
         )
-        new = sides.groupBy("list", "x", "y").applyInPandas(_cross(matches), "head long, node long").distinct()
+        sides = sides.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y")
+        new = sides.mapInArrow(_cross(total, nearest), "head long, node long").distinct()
         new = cut(new.join(tried, ["head", "node"], "left_anti"))
-        if new.isEmpty():
-            return rows.drop("sig").join(sets, ["k1", "k2"], "left"), links
-        tried = cut(tried.union(new))
-        links = cut(links.union(_verified(new, docs, shingle, percent)))
+        if not new.isEmpty():
+            tried = cut(tried.union(new))
+            links = cut(links.union(_verified(new, docs, shingle, percent)))
+    return rows.drop("sig", "more").join(sets, ["k1", "k2"], "left"), links
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
