@@ -4,11 +4,15 @@ No piece of the vocabulary has the space mark inside or at its end after another
 loaded), so no merge crosses from a character to a following space mark: a text's pieces are those of its pre-tokens, each a
 run of space marks with the characters up to the next one. The pieces of each distinct pre-token are counted once.
 
-1. Distinct pre-tokens of the corpus with their frequency: an explode with partial aggregation.
-2. Each distinct pre-token is encoded once and gives (64-bit hash, pieces); 10^9 distinct ones collide with probability 3%.
-3. The ``known`` most frequent counts (12 bytes each, a fixed bound) are broadcast. Each document's pre-token frequencies are
-   joined with them where they are computed; only the frequencies of the remaining, rare pre-tokens are shuffled and joined
-   with the rest of the counts. Every pre-token is counted one way or the other.
+1. Recurring pre-tokens (twice or more in some megabyte of text) with their frequency: counted where they lie, added up by a
+   shuffle of those counts alone.
+2. Each of the ``known`` most frequent ones is encoded once and gives (64-bit hash, pieces). These 12 bytes each, a fixed bound,
+   are broadcast and joined with every document's pre-token frequencies where these are computed.
+3. The other pre-tokens, mostly words that occur once or twice in the corpus, are encoded once in each megabyte that has them:
+   that costs less than to shuffle them. Every pre-token of every text is counted one way or the other, and no ids are kept.
+
+To shuffle all distinct pre-tokens and all frequencies of the rare ones, so that the rare ones too are encoded once only, needs
+3.4 times the input on disk (projected to 30 GB from 0.5). Two of 10^9 distinct pre-tokens share a hash with probability 3%.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from lattica.llm import bytewords
 from lattica.session import cut
 
 MARK = "▁"
-#: Most counts that are broadcast: 24 MB.
-KNOWN = 2_000_000
+#: Most counts that are broadcast: 6 MB.
+KNOWN = 500_000
 _STOP = np.zeros(256, bool)
 _STOP[0x20] = True
 
@@ -42,32 +46,14 @@ def model(path: str):
     return found
 
 
-def pretokens(text):
-    """Column: the pre-tokens of a text, spaces as marks, with the mark that the model puts first."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(f"{MARK}+[^{MARK}]*"), F.lit(0)))
-
-
 def _spaces(texts: pa.Array) -> pa.Array:
     return pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
 
 
-def _count_pieces(path: str):
-    """Distinct pre-tokens -> (hash, pieces, freq). The hash is of the pre-token with its marks as spaces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = model(path)
-        for whole in batches:
-            for batch in bytewords.pieces(whole, "token"):
-                spaced = _spaces(batch.column("token"))
-                data, at = bytewords.utf8(spaced)
-                h = bytewords.span_hashes(data, at[:-1], at[1:], fold=False)
-                # the model puts a mark before what it encodes, but not before an empty text
-                n = [len(x) for x in sp.encode([t[1:] for t in spaced.to_pylist()], num_threads=1)]
-                n = np.array([k if k else len(sp.encode(" ")) for k in n], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), batch.column("freq")], ["hash", "pieces", "freq"])
-
-    return run
+def _encode(sp, spaced: list[str]) -> np.ndarray:
+    """Pieces of pre-tokens with their marks as spaces. The model puts a mark before what it encodes, but not before nothing."""
+    n = [len(x) for x in sp.encode([t[1:] for t in spaced], num_threads=1)]
+    return np.array([k if k else len(sp.encode(" ")) for k in n], np.int64)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +66,57 @@ def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.append(starts[1:], len(data))
 
 
-def _sum_known(hashes, counts):
-    """Documents -> bytes, pieces of the known pre-tokens, hashes of the others (repeated as they occur)."""
+def _read(batch: pa.RecordBatch):
+    """(sizes, bytes with a space first, starts, ends, hashes of the pre-tokens, their number before each document)."""
+    text = pc.fill_null(batch.column("text"), "")
+    size = pc.cast(pc.binary_length(text), pa.int64())
+    data, at = bytewords.utf8(pc.if_else(pc.equal(size, 0), "", pc.binary_join_element_wise("", _spaces(text), " ")))
+    starts, ends = _spans(data, at)
+    return size, data, starts, ends, bytewords.span_hashes(data, starts, ends, fold=False), np.searchsorted(starts, at)
+
+
+def _texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    whole = data.tobytes()
+    return [whole[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, token, freq) of the pre-tokens that recur within a megabyte."""
+    for whole in batches:
+        for batch in bytewords.pieces(whole, "text", 1 << 20):
+            _, data, starts, ends, h, _ = _read(batch)
+            distinct, first, count = np.unique(h, return_index=True, return_counts=True)
+            on = count > 1
+            tokens = _texts(data, starts[first[on]], ends[first[on]])
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[on].view(np.int64)), pa.array(tokens, pa.string()), pa.array(count[on])], ["hash", "token", "freq"])
+
+
+def _pieces(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = model(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(_encode(sp, batch.column("token").to_pylist()))], ["hash", "pieces"])
+
+    return run
+
+
+def _sum(path: str, hashes, counts):
+    """Documents -> bytes and pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pieces = hashes.value, counts.value
+        sp, known, pieces = model(path), hashes.value, counts.value
         for whole in batches:
             for batch in bytewords.pieces(whole, "text", 1 << 20):
-                text = pc.fill_null(batch.column("text"), "")
-                size = pc.cast(pc.binary_length(text), pa.int64())
-                led = pc.if_else(pc.equal(size, 0), "", pc.binary_join_element_wise("", _spaces(text), " "))
-                data, at = bytewords.utf8(led)
-                starts, ends = _spans(data, at)
-                h = bytewords.span_hashes(data, starts, ends, fold=False)
-                distinct, back = np.unique(h, return_inverse=True)
+                size, data, starts, ends, h, doc = _read(batch)
+                distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
                 place = np.searchsorted(known, distinct)
                 hit = place < len(known)
                 hit[hit] = known[place[hit]] == distinct[hit]
-                n = np.where(hit, pieces[np.where(hit, place, 0)], 0) if len(known) else np.zeros(len(distinct), np.int64)
-                doc = np.searchsorted(starts, at)
+                n = np.zeros(len(distinct), np.int64)
+                n[hit] = pieces[place[hit]]
+                n[~hit] = _encode(sp, _texts(data, starts[first[~hit]], ends[first[~hit]]))
                 sums = np.concatenate([[0], np.cumsum(n[back])])
-                other = ~hit[back]
-                misses = np.concatenate([[0], np.cumsum(other)])[doc]
-                rest = pa.ListArray.from_arrays(pa.array(misses.astype(np.int32)), pa.array(h[other].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array((sums[doc[1:]] - sums[doc[:-1]]).astype(np.int64)), rest], ["doc_id", "n_bytes", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array((sums[doc[1:]] - sums[doc[:-1]]).astype(np.int64))], ["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -116,24 +129,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, known: int = KNO
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = docs.select(F.explode(pretokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
-    counts = cut(tokens.mapInArrow(_count_pieces(path), "hash long, pieces int, freq long")).dropDuplicates(["hash"])
-    distinct = counts.count()
-    top = counts.select("hash", "pieces")
-    if distinct > known:  # a fixed number of rows reaches the driver
-        # frequencies above the smallest for which all that are as frequent still fit
-        ranks = counts.groupBy("freq").agg(F.count("*").alias("c")).withColumn("above", F.sum("c").over(Window.orderBy(F.desc("freq"))))
-        least = ranks.filter(F.col("above") <= known).agg(F.min("freq")).first()[0]
-        often = F.col("freq") >= F.lit(1 << 62 if least is None else least)
-        top, rare = counts.filter(often).select("hash", "pieces"), counts.filter(~often).select("hash", "pieces")
-    got = top.toArrow()
+    found = docs.mapInArrow(_recurring, "hash long, token string, freq long")
+    found = cut(found.groupBy("hash").agg(F.min("token").alias("token"), F.sum("freq").alias("freq")))
+    # frequencies from the smallest on for which all that are as frequent still fit
+    ranks = found.groupBy("freq").agg(F.count("*").alias("c")).withColumn("above", F.sum("c").over(Window.orderBy(F.desc("freq"))))
+    least = ranks.filter(F.col("above") <= known).agg(F.min("freq")).first()[0]
+    top = found.filter(F.col("freq") >= F.lit(1 << 62 if least is None else least))
+    got = top.select("hash", "token").mapInArrow(_pieces(path), "hash long, pieces long").toArrow()  # at most ``known`` rows
     h, n = got["hash"].to_numpy().view(np.uint64), got["pieces"].to_numpy().astype(np.int32)
     order = np.argsort(h)
     send = spark.sparkContext.broadcast
-    summed = docs.mapInArrow(_sum_known(send(h[order]), send(n[order])), "doc_id long, n_bytes long, n long, rest array<long>")
-    if distinct > known:
-        summed = cut(summed).withColumn("row", F.monotonically_increasing_id())
-        others = summed.select("row", F.explode("rest").alias("hash")).groupBy("row", "hash").agg(F.count("*").alias("c"))
-        more = others.join(rare, "hash").groupBy("row").agg(F.sum(F.col("c") * F.col("pieces")).alias("more"))
-        summed = summed.join(more, "row", "left").withColumn("n", F.col("n") + F.coalesce("more", F.lit(0)))
-    return summed.select("doc_id", "n_bytes", F.col("n").alias("n_tokens"), (F.col("n") > limit).alias("over_limit"))
+    counted = docs.mapInArrow(_sum(path, send(h[order]), send(n[order])), "doc_id long, n_bytes long, n_tokens long")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
