@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text's terms are its words (A-Z as a-z, punctuation off) and the first 4 to 8 bytes of each longer word, hashed into 2^20
+A text's terms are its words (A-Z as a-z, punctuation off) and the first 4 to 7 bytes of each longer word, hashed into 2^20
 buckets; a document has the features "bucket occurs", "bucket occurs twice or more" and one for the power of two of its length,
 so repetition beyond that doesn't matter. The score is ``sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)`` over the features the
 machine knows: linear weights as well as pairwise interactions, so that a term can weigh more, or less, beside another one or in
@@ -8,7 +8,7 @@ a long text.
 
 The fit uses a bounded sample of labelled rows (``sample``, those with the smallest hash of their key), one of each group of
 near copies, and the features that occur in at least ``least`` of them and tell the classes apart (``z`` standard errors). It
-runs in numpy on the driver: the sample is bounded and its terms are a few MB. Scoring reads all texts once, whole.
+runs in numpy on the driver: the sample is bounded and its features are some 40 MB of integers. Scoring reads all texts once, whole.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from lattica.llm.labelled import held_out, training
 
 BITS = 20
 LEVEL = 1 << BITS
-BEGINNINGS = (4, 5, 6, 7, 8)
-SAMPLE = 12_000
+BEGINNINGS = (4, 5, 6, 7)
+SAMPLE = 8_000
 #: Terms are runs of letters and digits; all bytes above 127 belong to letters.
 STOPS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
@@ -96,15 +96,13 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(y: np.ndarray, terms: list[np.ndarray], factors: int = 4, least: int = 5, z: float = 3.5, most: int = 4096, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
-    """Adam on the mean log loss with an L2 penalty; deterministic."""
+def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, least: int = 5, z: float = 3.5, most: int = 4096, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
+    """From labels and (document, feature) pairs: Adam on the mean log loss with an L2 penalty; deterministic."""
     n, pos = len(y), float(y.sum())
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
     empty = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), prior)
     if not n or pos in (0, n):
         return empty
-    doc = np.repeat(np.arange(n), [len(t) for t in terms])
-    term = np.concatenate(terms).astype(np.int64)
     size = 2 * LEVEL + 64
     df = np.bincount(term, minlength=size)
     toxic = np.bincount(term[y[doc] == 1], minlength=size)
@@ -117,9 +115,10 @@ def fit(y: np.ndarray, terms: list[np.ndarray], factors: int = 4, least: int = 5
     if not len(known):
         return empty
     known = np.concatenate([known, np.arange(2 * LEVEL, size)])
-    place = np.searchsorted(known, term)
-    on = (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == term)
-    doc, term = doc[on], place[on]
+    place = np.full(size, -1, np.int32)
+    place[known] = np.arange(len(known))
+    term = place[term]
+    doc, term = doc[term >= 0].astype(np.int64), term[term >= 0].astype(np.int64)
     rng = np.random.default_rng(seed)
     params = [np.zeros(len(known)), rng.normal(0, 0.05, (len(known), factors)), np.array([prior])]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -144,15 +143,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     chosen = training(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("y", "text")
     got = rows.mapInArrow(_features, "y int, sketch array<long>, terms array<int>").toArrow()
-    y, terms, sketch = got["y"].to_numpy(), got["terms"].to_pylist(), got["sketch"].to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (sketch[i], y[i]))
-    seen, keep = [set(), set()], []
-    for i in order:
+    y, sketch = got["y"].to_numpy(), got["sketch"].to_pylist()
+    lists = got["terms"].combine_chunks()
+    length, term = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+    doc = np.repeat(np.arange(len(y), dtype=np.int32), length)
+    seen, number, n = [set(), set()], np.full(len(y), -1, np.int32), 0
+    for i in sorted(range(len(y)), key=lambda i: (sketch[i], y[i])):  # one of each group of near copies
         if sketch[i] == [0, 0] or not (sketch[i][0] in seen[0] or sketch[i][1] in seen[1]):
-            keep.append(i)
+            number[i], n = n, n + 1
         seen[0].add(sketch[i][0])
         seen[1].add(sketch[i][1])
-    return fit(y[keep].astype(float), [np.array(terms[i], np.int32) for i in keep])
+    kept = number >= 0
+    target = np.zeros(n)
+    target[number[kept]] = y[kept]
+    on = kept[doc]
+    return fit(target, number[doc[on]], term[on])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
