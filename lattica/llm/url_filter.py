@@ -82,6 +82,8 @@ class Filter:
 
 def fit(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray, smooth: float = 20.0) -> Filter:
     prior = 0.5  # of a suffix that the sample doesn't have: neither way
+    if not len(blocked):
+        return Filter(Trees(-3.0), {}, prior)
     seen: dict[str, list[float]] = {}
     for host, b in zip(hosts, blocked, strict=True):
         for s in set(_suffixes(host)):

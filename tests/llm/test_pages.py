@@ -95,7 +95,7 @@ def test_trees_learn_and_are_constant_without_classes():
     y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.3)).astype(float)
     model = trees.boost(x[:1000], y[:1000])
     assert ((model.scores(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
-    assert set(trees.boost(x, np.zeros(1500)).scores(x[:3])) == {0.5 / 1501.0} and len(trees.boost(x[:0], y[:0]).scores(x[:3])) == 3
+    assert len(set(trees.boost(x, np.zeros(1500)).scores(x[:3]))) == 1 and len(trees.boost(x[:0], y[:0]).scores(x[:3])) == 3
 
 
 def plain_rule(url):

@@ -33,11 +33,11 @@ def labelled(spark):
     for i in range(900):
         words = text(i, r.randint(8, 80)).split()
         toxic, poor = r.random() < 0.25, r.random() < 0.3
+        if poor:
+            words = [w for w in words[:8] for _ in range(8)]
         if toxic:
             for _ in range(2):
                 words.insert(r.randrange(len(words)), r.choice(("vilest", "skunkk")) + r.choice(("", "er", "ing")))
-        if poor:
-            words = [w for w in words[:8] for _ in range(8)]
         docs.append((i, " ".join(words)))
         labels.append((i, int(not poor), int(toxic)))
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -77,7 +77,7 @@ def test_the_held_out_fold_is_not_learnt_from(spark):
 def test_without_labels(spark):
     docs, labels = labelled(spark)
     none = labels.filter("doc_id < 0")
-    assert {r.score for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {pytest.approx(1 / (1 + np.exp(3)))}
+    assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {round(1 / (1 + np.exp(3)), 6)}
     assert {round(r.score, 6) for r in quality.judge(docs, none).collect()} == {0.5}
     contradicting = labels.union(labels.selectExpr("doc_id", "1 - quality", "1 - toxic"))
     assert {round(r.score, 6) for r in quality.judge(docs, contradicting).collect()} == {0.5}
