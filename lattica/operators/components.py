@@ -9,7 +9,7 @@ from lattica.session import cut
 
 
 def flatten(parents: DataFrame) -> DataFrame:
-    """(node, parent) as (node, root): pointer jumping, a checkpoint a step. parent <= node; a root is its own parent."""
+    """(node, parent) as (node, root): pointer jumping, a cut a step. parent <= node; a root is its own parent."""
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
         jumped = cut(parents.join(up, "parent").select("node", F.col("root").alias("parent"), (F.col("root") < F.col("parent")).alias("moved")))

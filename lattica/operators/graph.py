@@ -70,7 +70,7 @@ def wedge_stats(lower: Matrix) -> DataFrame:
 def toposort_levels(matrix: Matrix) -> DataFrame:
     """(row, col, level) of a morally triangular matrix: rows with one live entry are peeled, matched to its column, which
     removes that column from all others. level: 0 for rows with one entry at first, else 1 + the greatest level among the rows
-    matched to the row's other columns. One pass a level over the live entries; state is checkpointed each time.
+    matched to the row's other columns. One pass a level over the live entries; state is cut each time.
 
     Raises ValueError if rows are left and none has a single entry, or if two rows of a level claim a column.
     """
@@ -89,9 +89,7 @@ def toposort_levels(matrix: Matrix) -> DataFrame:
         freed = live.join(peeled.select("col", "level"), "col")
         less = freed.groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("s"), (F.max("level") + 1).alias("up"))
         state = cut(rest.join(less, "row", "left").select("row", (F.col("cnt") - F.coalesce("n", F.lit(0))).alias("cnt"), (F.col("sum") - F.coalesce("s", F.lit(0))).alias("sum"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        live = live.join(peeled.select("col"), "col", "left_anti")
-        if n:
-            live = cut(live)
+        live = cut(live.join(peeled.select("col"), "col", "left_anti").select("row", "col"))
     return done if done is not None else matrix.entries.select("row", "col", F.lit(0).cast("long").alias("level"))
 
 

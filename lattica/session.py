@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint on shared storage, so that lost executors cost no recomputation of a loop."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder and read again: its lineage ends there, so lost executors cost no
+    recomputation of a loop, and its size is known (a checkpoint keeps the estimate of the plan it came from, which joins in a
+    loop multiply until it has millions of digits). The tables stay until ``discard``."""
+    spark = df.sparkSession
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/lattica-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators have written; results that still read them are lost."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
