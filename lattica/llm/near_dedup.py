@@ -37,7 +37,7 @@ MATCHES = 32
 MORE = 128
 TOTAL = 120
 #: Partners of a member that a round verifies; the round after the last takes all.
-NEAREST = (2, 16)
+NEAREST = (4,)
 #: Partners of one head that are verified in one group.
 GROUP = 256
 #: Members of one list that are compared in one block.
@@ -109,29 +109,37 @@ def _pairs(block: dict[str, np.ndarray], total: int, nearest: int) -> tuple[np.n
     """Of one block of a posting list, the pairs (smaller, larger node) of different components with enough collisions whose
     first list in common is this one; of each node, the ``nearest`` best (0: all)."""
     x, y = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
-    one = not len(x) or not len(y)  # a block with itself
-    if one:
-        x = y = np.arange(len(block["side"]))
     node, component, sig, more, mask = (block[c] for c in ("node", "component", "sig", "more", "mask"))
     here = int(block["list"][0] >> 32)
-    us, vs, ns = [], [], []
-    for i in range(0, len(x), 256):
-        p = x[i : i + 256]
-        hits = np.zeros((len(p), len(y)), np.int16)
-        for columns in (sig, more):
-            for k in range(columns.shape[1]):
-                hits += columns[p, k][:, None] == columns[y, k][None, :]
-        on = (hits >= total) & (component[p][:, None] != component[y][None, :])
-        if one:
-            on &= node[p][:, None] < node[y][None, :]
-        a, b = np.nonzero(on)
-        n, a, b = hits[a, b], p[a], y[b]
-        shared = (sig[a] == sig[b]) & ((((mask[a] & mask[b])[:, None] >> np.arange(sig.shape[1], dtype=np.uint64)[None, :]) & np.uint64(1)) == 1)
-        first = shared.argmax(1) == here
-        us.append(a[first])
-        vs.append(b[first])
-        ns.append(n[first])
-    a, b, n = np.concatenate(us), np.concatenate(vs), np.concatenate(ns)
+    values, counts = np.unique(component, return_counts=True)
+    most = component == values[counts.argmax()]  # the largest component needs no comparison with itself
+    if not len(x) or not len(y):  # a block with itself
+        every = np.arange(len(node))
+        todo = [(every[~most], every[~most], True), (every[~most], every[most], False)]
+    else:
+        todo = [(x[~most[x]], y, False), (x[most[x]], y[~most[y]], False)]
+    us, vs, ns = [node[:0]], [node[:0]], [np.zeros(0, np.int64)]
+    for left, right, one in todo:
+        for i in range(0, len(left) if len(right) else 0, 256):
+            p = left[i : i + 256]
+            if len(p) * len(right) < 2000:
+                hits = (sig[p][:, None] == sig[right][None]).sum(2) + (more[p][:, None] == more[right][None]).sum(2)
+            else:
+                hits = np.zeros((len(p), len(right)), np.int16)
+                for columns in (sig, more):
+                    for k in range(columns.shape[1]):
+                        hits += columns[p, k][:, None] == columns[right, k][None, :]
+            on = (hits >= total) & (component[p][:, None] != component[right][None, :])
+            if one:
+                on &= node[p][:, None] < node[right][None, :]
+            a, b = np.nonzero(on)
+            n, a, b = hits[a, b], p[a], right[b]
+            shared = (sig[a] == sig[b]) & ((((mask[a] & mask[b])[:, None] >> np.arange(sig.shape[1], dtype=np.uint64)[None, :]) & np.uint64(1)) == 1)
+            first = shared.argmax(1) == here
+            us.append(a[first])
+            vs.append(b[first])
+            ns.append(n[first])
+    a, b, n = np.concatenate(us).astype(np.int64), np.concatenate(vs).astype(np.int64), np.concatenate(ns)
     if nearest and len(a):
         keep = np.zeros(len(a), bool)
         for side in (a, b):
