@@ -10,8 +10,8 @@ the rest post under their rarest coordinates only; frequent lines and passages c
 
 Skip merging: a list's members are compared with its smallest member first (its head); verified pairs are merged into
 components. Then lists whose members are all in one component are skipped; in those left, members of different components
-are compared by their whole signatures, in blocks, each pair in one list only. Nearest first: rounds verify the ``NEAREST`` best
-partners of each member, merge, and the last round verifies every pair above the match threshold that still lies between two
+are compared by their whole signatures, in blocks, each pair in one list only. Nearest first: a first round verifies the ``NEAREST`` best
+partners of each member in some lists and merges, and the last round verifies every pair above the match threshold that still lies between two
 components. So no pair that could join two components is left out, and a group of near copies costs some rows a member.
 
 The posted coordinates are K = 64 with T = 32; whole signatures have ``MORE`` = 128 further ones (a byte each) and a threshold of
@@ -36,8 +36,9 @@ COORDINATES = 64
 MATCHES = 32
 MORE = 128
 TOTAL = 120
-#: Partners of a member that a round verifies; the round after the last takes all.
-NEAREST = (4,)
+#: Partners of a member that the first round verifies, from so many of its lists, the largest; the last round takes all.
+NEAREST = 4
+WIDE = 4
 #: Partners of one head that are verified in one group.
 GROUP = 256
 #: Members of one list that are compared in one block.
@@ -225,7 +226,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MA
     kept = ranked.filter(keep > 0).select("node", F.transform(F.slice("lists", F.lit(1), keep), lambda p: p["list"]).alias("lists"))
     # the posted coordinates as bits: a pair is judged in the first list that both are posted in
     bit = lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int")))
-    posted = cut(kept.select("node", F.aggregate("lists", F.lit(0).cast("long"), bit).alias("mask"), F.explode("lists").alias("list")))
+    masks = [F.aggregate(x, F.lit(0).cast("long"), bit) for x in (F.col("lists"), F.slice("lists", F.greatest(F.lit(1), F.size("lists") - (WIDE - 1)), F.lit(WIDE)))]
+    posted = kept.select("node", masks[0].alias("mask"), masks[1].alias("wide_mask"), F.size("lists").alias("n"), F.posexplode("lists").alias("at", "list"))
+    posted = cut(posted.select("node", "mask", "wide_mask", "list", (F.col("at") >= F.col("n") - WIDE).alias("wide")))
 
     heads = posted.groupBy("list").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1").select("list", "head")
     first = posted.join(heads, "list").filter("head <> node").select("head", "node").distinct()
@@ -238,9 +241,10 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MA
     tried = cut(pairs)
     links = cut(_verified(tried, docs, shingle, percent))
 
-    for nearest in (*NEAREST, 0):
+    for nearest in (NEAREST, 0):
         found = components(links)
-        at = posted.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = posted.filter("wide").withColumn("mask", F.col("wide_mask")) if nearest else posted
+        at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_lists = at.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
         sides = (
             at.join(open_lists, "list").join(signed, "node")
