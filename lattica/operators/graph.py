@@ -70,27 +70,32 @@ def wedge_stats(lower: Matrix) -> DataFrame:
 def toposort_levels(matrix: Matrix) -> DataFrame:
     """(row, col, level) of a morally triangular matrix: rows with one live entry are peeled, matched to its column, which
     removes that column from all others. level: 0 for rows with one entry at first, else 1 + the greatest level among the rows
-    matched to the row's other columns. One pass a level over the live entries; state is cut each time.
+    matched to the row's other columns. One pass a level over the entries; only the table of unpeeled rows is written.
 
     Raises ValueError if rows are left and none has a single entry, or if two rows of a level claim a column.
     """
-    live = cut(matrix.entries)
-    state = cut(live.groupBy("row").agg(F.count("*").alias("cnt"), F.sum("col").alias("sum")).withColumn("level", F.lit(0).cast("long")))
-    done: DataFrame | None = None
-    while not state.isEmpty():
-        peeled = cut(state.filter("cnt = 1").select("row", F.col("sum").alias("col"), "level"))
-        n, columns = peeled.agg(F.count("*"), F.count_distinct("col")).first()
+    entries = cut(matrix.entries)
+    state = cut(entries.groupBy("row").agg(F.count("*").alias("cnt"), F.sum("col").alias("sum")).withColumn("level", F.lit(0).cast("long")))
+    done = entries.limit(0).select("row", "col", F.lit(0).cast("long").alias("level"))
+    while True:
+        single = F.col("cnt") == 1
+        rows, n, columns = state.agg(F.count("*"), F.count_if(single), F.count_distinct(F.when(single, F.col("sum")))).first()
+        if not rows:
+            return done
         if n == 0:
             raise ValueError("no row has a single entry left: the matrix is not morally triangular")
         if n != columns:
             raise ValueError("two rows have the same single column: the matrix is singular")
-        done = peeled if done is None else done.union(peeled)
-        rest = state.join(peeled.select("row"), "row", "left_anti")
-        freed = live.join(peeled.select("col", "level"), "col")
+        peeled = state.filter(single).select("row", F.col("sum").alias("col"), "level")
+        done = done.union(peeled)
+        if n == rows:
+            return done
+        # a column is peeled once, so each entry is counted off once
+        freed = entries.join(peeled.select("col", "level"), "col")
         less = freed.groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("s"), (F.max("level") + 1).alias("up"))
-        state = cut(rest.join(less, "row", "left").select("row", (F.col("cnt") - F.coalesce("n", F.lit(0))).alias("cnt"), (F.col("sum") - F.coalesce("s", F.lit(0))).alias("sum"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        live = cut(live.join(peeled.select("col"), "col", "left_anti").select("row", "col"))
-    return done if done is not None else matrix.entries.select("row", "col", F.lit(0).cast("long").alias("level"))
+        rest = state.filter(~single).join(less, "row", "left")
+        off = lambda c, by: (F.col(c) - F.coalesce(by, F.lit(0))).alias(c)
+        state = cut(rest.select("row", off("cnt", "n"), off("sum", "s"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
 
 
 def toposort_perm(levels: DataFrame, n: int) -> DataFrame:
