@@ -7,8 +7,8 @@ machine knows: linear weights as well as pairwise interactions, so that a term c
 a long text.
 
 The fit uses a bounded sample of labelled rows (``sample``, those with the smallest hash of their key), one of each group of
-near copies, and the features that occur in at least ``least`` of them and tell the classes apart (``z`` standard errors). It
-runs in numpy on the driver: the sample is bounded and its features are some 40 MB of integers. Scoring reads all texts once, whole.
+near copies, and the features that occur in at least ``LEAST`` of them and tell the classes apart (``SURE`` standard errors), which
+Spark counts. The fit itself runs in numpy on the driver, on a bounded number of rows and features. Scoring reads all texts once, whole.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bytewords
 from lattica.llm.labelled import held_out, training
+from lattica.session import cut
 
 BITS = 20
 LEVEL = 1 << BITS
 BEGINNINGS = (4, 5, 6, 7)
 SAMPLE = 8_000
+#: A feature must occur in so many sampled documents, and tell the classes apart by so many standard errors; so many are kept.
+LEAST, SURE, MOST = 5, 3.5, 4096
 #: Terms are runs of letters and digits; all bytes above 127 belong to letters.
 STOPS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
@@ -96,7 +99,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, least: int = 5, z: float = 3.5, most: int = 4096, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
+def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, least: int = LEAST, z: float = SURE, most: int = MOST, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
     """From labels and (document, feature) pairs: Adam on the mean log loss with an L2 penalty; deterministic."""
     n, pos = len(y), float(y.sum())
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
@@ -142,22 +145,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     """A machine fitted to at most ``sample`` labelled documents outside the held-out fold."""
     chosen = training(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("y", "text")
-    got = rows.mapInArrow(_features, "y int, sketch array<long>, terms array<int>").toArrow()
-    y, sketch = got["y"].to_numpy(), got["sketch"].to_pylist()
-    lists = got["terms"].combine_chunks()
-    length, term = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    doc = np.repeat(np.arange(len(y), dtype=np.int32), length)
-    seen, number, n = [set(), set()], np.full(len(y), -1, np.int32), 0
-    for i in sorted(range(len(y)), key=lambda i: (sketch[i], y[i])):  # one of each group of near copies
-        if sketch[i] == [0, 0] or not (sketch[i][0] in seen[0] or sketch[i][1] in seen[1]):
-            number[i], n = n, n + 1
-        seen[0].add(sketch[i][0])
-        seen[1].add(sketch[i][1])
-    kept = number >= 0
-    target = np.zeros(n)
-    target[number[kept]] = y[kept]
-    on = kept[doc]
-    return fit(target, number[doc[on]], term[on])
+    rows = cut(rows.mapInArrow(_features, "y int, sketch array<long>, terms array<int>"))
+    for k in (0, 1):  # one of each group of near copies
+        rows = rows.groupBy(F.col("sketch")[k]).agg(F.min(F.struct("sketch", "y", "terms")).alias("r")).select("r.*")
+    rows = cut(rows)
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = min(max(pos / max(n, 1), 1e-9), 1 - 1e-9)
+    counts = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("y").alias("toxic"))
+    sure = F.abs(F.col("toxic") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)))
+    useful = counts.filter((F.col("t") >= 2 * LEVEL) | ((F.col("df") >= LEAST) & (sure >= SURE)))
+    best = useful.orderBy(F.col("t") < 2 * LEVEL, sure.desc(), "t").limit(MOST + 64)
+    known = np.array([r.t for r in best.select("t").collect()], np.int32)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [x[np.isin(x, known)] for x in (np.array(t, np.int32) for t in batch.column("terms").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("sketch"), pa.array(terms, pa.list_(pa.int32()))], ["y", "sketch", "terms"])
+
+    got = rows.select("y", "sketch", "terms").mapInArrow(prune, "y int, sketch array<long>, terms array<int>").toArrow()  # some features of at most ``sample`` rows
+    y, sketch, terms = got["y"].to_pylist(), got["sketch"].to_pylist(), got["terms"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (sketch[i], y[i]))
+    doc = np.repeat(np.arange(len(y)), [len(terms[i]) for i in order]) if y else np.zeros(0, np.int64)
+    term = np.array([t for i in order for t in terms[i]], np.int64)
+    return fit(np.array([y[i] for i in order], float), doc, term)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
