@@ -247,7 +247,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MA
         at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_lists = at.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
         sides = (
-            at.join(open_lists, "list").join(signed, "node")
+            at.join(open_lists, "list").groupBy("node", "component", "mask").agg(F.collect_list(F.struct("list", "blocks")).alias("lists"))
+            .join(signed, "node")  # a row a document; its lists come apart after it
+            .withColumn("open", F.explode("lists")).select("node", "component", "mask", "sig", "more", "open.*")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
