@@ -48,10 +48,14 @@ def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter("row > col").select("row", "col").distinct()
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u, v), u < v: all edges of the graph."""
+    return graph(spark, sf_dir).select(F.col("col").alias("u"), F.col("row").alias("v"))
+
+
 def thinned(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """(u, v), u < v: one in k edges of the graph, by hash."""
-    edges = graph(spark, sf_dir).select(F.col("col").alias("u"), F.col("row").alias("v"))
-    return edges.filter(u32(keyed(F.col("u"), F.col("v"))) % k == 0)
+    return edges(spark, sf_dir).filter(u32(keyed(F.col("u"), F.col("v"))) % k == 0)
 
 
 def dag(spark: SparkSession, sf_dir: str, k: int = 60) -> Matrix:

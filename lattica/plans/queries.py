@@ -453,7 +453,7 @@ def level_rank(spark, d):
 
 @query
 def components_(spark, d):
-    return components(inputs.thinned(spark, d, 240))
+    return components(inputs.edges(spark, d))
 
 
 QUERIES["components"] = QUERIES.pop("components_")
@@ -461,7 +461,7 @@ QUERIES["components"] = QUERIES.pop("components_")
 
 @query
 def components_incremental(spark, d):
-    edges = inputs.thinned(spark, d, 240)
+    edges = inputs.edges(spark, d)
     return steady.component_waves(spark, [edges.filter(F.col("u") % 3 == i) for i in range(3)])
 
 
