@@ -76,20 +76,25 @@ def toposort_levels(matrix: Matrix) -> DataFrame:
     """
     entries = cut(matrix.entries)
     state = cut(entries.groupBy("row").agg(F.count("*").alias("cnt"), F.sum("col").alias("sum")).withColumn("level", F.lit(0).cast("long")))
-    done = entries.limit(0).select("row", "col", F.lit(0).cast("long").alias("level"))
+    files: list[str] = []
+
+    def done() -> DataFrame:  # all levels in one scan, not in a union of a table a level
+        every = state.sparkSession.read.schema(state.schema).parquet(*files) if files else state
+        return every.filter("cnt = 1").select("row", F.col("sum").alias("col"), "level")
+
     while True:
+        files += state.inputFiles()
         single = F.col("cnt") == 1
         rows, n, columns = state.agg(F.count("*"), F.count_if(single), F.count_distinct(F.when(single, F.col("sum")))).first()
         if not rows:
-            return done
+            return done()
         if n == 0:
             raise ValueError("no row has a single entry left: the matrix is not morally triangular")
         if n != columns:
             raise ValueError("two rows have the same single column: the matrix is singular")
         peeled = state.filter(single).select("row", F.col("sum").alias("col"), "level")
-        done = done.union(peeled)
         if n == rows:
-            return done
+            return done()
         # a column is peeled once, so each entry is counted off once
         freed = entries.join(peeled.select("col", "level"), "col")
         less = freed.groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("s"), (F.max("level") + 1).alias("up"))

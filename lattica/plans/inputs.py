@@ -7,7 +7,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.portable import keyed, u32
 from lattica.operators.matrix import Matrix
 from lattica.operators.numbering import numbered
 from lattica.session import table
@@ -53,16 +52,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph(spark, sf_dir).select(F.col("col").alias("u"), F.col("row").alias("v"))
 
 
-def thinned(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """(u, v), u < v: one in k edges of the graph, by hash."""
-    return edges(spark, sf_dir).filter(u32(keyed(F.col("u"), F.col("v"))) % k == 0)
-
-
-def dag(spark: SparkSession, sf_dir: str, k: int = 60) -> Matrix:
-    """The thinned graph as an upper triangular matrix with full diagonal."""
+def dag(spark: SparkSession, sf_dir: str) -> Matrix:
+    """The graph as an upper triangular matrix with full diagonal."""
     n = rows(spark, sf_dir, "part")
     diagonal = spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col"))
-    return Matrix(thinned(spark, sf_dir, k).select(F.col("u").alias("row"), F.col("v").alias("col")).union(diagonal), n, n)
+    return Matrix(edges(spark, sf_dir).select(F.col("u").alias("row"), F.col("v").alias("col")).union(diagonal), n, n)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -304,7 +304,7 @@ def mm_write_roundtrip(spark, d):
 @query
 def mm_read(spark, d):
     """A symmetric integer file with comments."""
-    edges, n, path = inputs.thinned(spark, d, 60), inputs.rows(spark, d, "part"), _scratch(spark, "mm")
+    edges, n, path = inputs.edges(spark, d), inputs.rows(spark, d, "part"), _scratch(spark, "mm")
     text = edges.select(F.concat_ws(" ", (F.col("v") + 1).cast("string"), (F.col("u") + 1).cast("string"), F.lit("7")).alias("value"), F.lit(1).alias("o"))
     head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer symmetric\n% made of a graph\n" + f"{n} {n} {edges.count()}", 0)], "value string, o int")
     head.union(text).orderBy("o").coalesce(1).select("value").write.text(path)
