@@ -44,7 +44,7 @@ def histogram(spark, d):
 
 @query
 def histogram_dense(spark, d):
-    return arrays.histogram_dense(inputs.updates(spark, d).filter("idx % 3 <> 0"), inputs.rows(spark, d, "part"))
+    return arrays.histogram_dense(inputs.updates(spark, d), inputs.rows(spark, d, "part"))
 
 
 @query

@@ -1,5 +1,7 @@
 """Queries that take the whole of their tables, against brute force on them."""
 
+from collections import Counter
+
 import pytest
 
 from lattica.plans import inputs
@@ -59,3 +61,9 @@ def test_dag_has_all_edges(spark, small, edges, parts):
 def test_toposort_levels_of_all_edges(spark, small, edges, parts):
     want = levels(edges, parts)
     assert {r.row: r.level for r in QUERIES["toposort_levels"](spark, small).collect()} == dict(enumerate(want))
+
+
+def test_histogram_dense_counts_all_updates(spark, small, lines, parts):
+    got = {r.idx: r.cnt for r in QUERIES["histogram_dense"](spark, small).collect()}
+    want = Counter(part for _, part in lines)
+    assert got == {i: want[i] for i in range(parts)} and sum(got.values()) == len(lines)
