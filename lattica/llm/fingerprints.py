@@ -11,8 +11,8 @@ bytes. A slot picks a block of the text by the smallest hash of the blocks' firs
 block's trace. So two fingerprints agree in a slot if they pick the same block and its traces agree at the sampled step.
 ``likeness`` is the share of text in common that this agreement a stands for, 2a / (1 + a), less what chance gives.
 
-``near_pairs`` finds similar documents: slots are banded, documents that share a band are compared with the band's first, and
-whole fingerprints verify them.
+``near_pairs`` finds similar documents: slots are banded, documents that share a band are compared with the band's first, then
+those of a band that are still in different components with each other, and whole fingerprints verify them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bytewords
 from lattica.llm.bytewords import mix, seeds
+from lattica.operators.components import components
+from lattica.session import cut
 
 SLOTS = 128
 WINDOW = 8
@@ -35,6 +38,8 @@ WINDOW = 8
 EVERY = 32
 LONGEST = 128
 _LAST = -(1 << 63)
+#: Members of one band that are compared in one block.
+BLOCK = 2048
 
 
 @lru_cache(maxsize=1)
@@ -208,14 +213,58 @@ def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return dealt.select("part", "halo", "doc_id", "text").mapInArrow(_compare, result)
 
 
+def _joining(least: float):
+    """Rows (band, x, y, side, doc_id, component, fingerprint) in order of band, x, y: of each block, verified pairs that join all
+    components with a pair that alike, one pair less than it has components at most."""
+
+    def pairs(block: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        side, node = np.array([r[3] for r in block]), [r[4] for r in block]
+        label = np.unique([r[5] for r in block], return_inverse=True)[1]
+        prints = np.frombuffer(bytes.fromhex("".join(r[6] for r in block)), np.uint8).reshape(-1, SLOTS)
+        alone = block[0][1] == block[0][2]  # a block with itself
+        for i in range(len(block)) if alone else np.flatnonzero(side == 0):
+            others = np.flatnonzero((label != label[i]) & (np.arange(len(block)) > i if alone else side == 1))
+            near = likeness(prints[i][None, :], prints[others])
+            for k in np.flatnonzero(near >= least):
+                j = others[k]
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield min(node[i], node[j]), max(node[i], node[j]), float(near[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, block in groupby(rows, key=lambda r: r[:3]):
+            found = list(pairs(list(block)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["u", "v", "near"])
+
+    return run
+
+
 def near_pairs(prints: DataFrame, least: float = 0.8, slots: int = 4) -> DataFrame:
-    """(u, v, near) of ``prints`` (doc_id, fingerprint): documents that share a band of ``slots`` slots with the band's smallest
-    doc_id and are that alike by their whole fingerprints. A group of copies gives one row a member, not all its pairs."""
+    """(u, v, near) of ``prints`` (doc_id, fingerprint): documents that share a band of ``slots`` slots and are that alike by
+    their whole fingerprints. Members of a band are compared with its smallest doc_id, then, in blocks, those still in different
+    components with each other: the pairs connect all that such pairs connect. A group of copies gives some rows a member, not
+    all its pairs."""
     bands = F.explode(F.expr(f"transform(sequence(0, {SLOTS // slots - 1}), i -> concat(i, ':', substring(fingerprint, i * {2 * slots} + 1, {2 * slots})))")).alias("band")
+    prints = cut(prints.filter("doc_id is not null").select("doc_id", "fingerprint"))
     posted = prints.select("doc_id", bands)
     heads = posted.groupBy("band").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).filter("n > 1").select("band", "u")
     pairs = posted.join(heads, "band").filter("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct()
     x, y = prints.select(F.col("doc_id").alias("u"), F.col("fingerprint").alias("x")), prints.select(F.col("doc_id").alias("v"), F.col("fingerprint").alias("y"))
     same = F.expr(f"size(filter(sequence(0, {SLOTS - 1}), i -> substring(x, 2 * i + 1, 2) = substring(y, 2 * i + 1, 2)))")
     share = F.greatest(F.lit(0.0), (same / SLOTS - 1 / 256) / (1 - 1 / 256))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", (2 * share / (1 + share)).alias("near")).filter(F.col("near") >= least)
+    links = cut(pairs.join(x, "u").join(y, "v").select("u", "v", (2 * share / (1 + share)).alias("near")).filter(F.col("near") >= least))
+
+    at = posted.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sides = (
+        at.join(open_bands, "band").join(prints, "doc_id")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
+        .select("band", "x", "y", (F.col("block") == F.col("y")).cast("int").alias("side"), "doc_id", "component", "fingerprint")
+    )
+    sides = sides.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+    more = sides.mapInArrow(_joining(least), "u long, v long, near double")
+    return links.union(more.dropDuplicates(["u", "v"]))

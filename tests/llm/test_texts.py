@@ -9,6 +9,7 @@ import pytest
 
 from lattica.llm import fingerprints, quality, token_counts, toxicity
 from tests.llm.common import documents, empty, odd_rows, text, widened
+from tests.test_operators import union_find
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -168,3 +169,24 @@ def test_near_pairs_by_bands(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i] + " tail") for i in range(0, 60, 3)]
     prints = spark.createDataFrame([(i, fingerprints.fingerprints([t])[0].tobytes().hex()) for i, t in rows], "doc_id long, fingerprint string")
     assert {(r.u, r.v) for r in fingerprints.near_pairs(prints).collect()} == {(i, 100 + i) for i in range(0, 60, 3)}
+
+
+def test_near_pairs_connect_edited_copies(spark):
+    r, base = random.Random(5), text(7, 300)
+
+    def changed():
+        t = list(base)
+        for _ in range(14):
+            t[r.randrange(len(t))] = "#"
+        return "".join(t)
+
+    prints = fingerprints.fingerprints([changed() for _ in range(60)])
+    alike = {(i, j): float(fingerprints.likeness(prints[i : i + 1], prints[j : j + 1])[0]) for i in range(60) for j in range(i + 1, 60)}
+    band = lambda i, j: (prints[i].reshape(-1, 4) == prints[j].reshape(-1, 4)).all(1).any()
+    for least, block in ((0.8, 2048), (0.85, 7)):
+        wanted = {p for p, near in alike.items() if near >= least and band(*p)}
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(fingerprints, "BLOCK", block, raising=False)
+            got = {(x.u, x.v): x.near for x in fingerprints.near_pairs(spark.createDataFrame([(i, p.tobytes().hex()) for i, p in enumerate(prints)], "doc_id long, fingerprint string"), least).collect()}
+        assert set(got) <= wanted and all(abs(alike[p] - near) < 1e-9 for p, near in got.items())
+        assert union_find(got) == union_find(wanted)
