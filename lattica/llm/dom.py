@@ -12,9 +12,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Nothing in these is text of the page.
-UNSEEN = frozenset("script style noscript template svg math iframe object canvas textarea select option button title head video audio datalist noframes xmp".split())
+UNSEEN = frozenset("script style noscript template svg iframe textarea select option button title head datalist noframes xmp".split())
 #: Those that end only at their own end tag.
 RAW = frozenset("script style textarea title iframe noscript noframes xmp".split())
+#: What can stand in a head; anything else ends it, as does text.
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "thead": {"caption"}}
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "thead": {"table"}}
 _NO_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
@@ -89,6 +91,8 @@ def parse(source: str | None) -> Page:
             continue
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else size]
+        if text and stack[-1][0] == "head" and not text.isspace():
+            pop(len(stack) - 1)
         if text and not skip:
             text = html.unescape(text) if "&" in text else text
             chunks.append(text)
@@ -113,6 +117,8 @@ def parse(source: str | None) -> Page:
             if block and not skip:
                 flush()
             continue
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            pop(len(stack) - 1)
         if tag == "br":
             chunks.append(" ")
             continue

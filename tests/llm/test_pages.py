@@ -142,3 +142,14 @@ def test_url_trees_hold_out():
     blocked = np.arange(1500) % 2 == 1
     model = url_filter.fit(urls[:1000], hosts[:1000], paths[:1000], blocked[:1000])
     assert ((model.scores(urls[1000:], hosts[1000:], paths[1000:]) > 0.5) == blocked[1000:]).mean() > 0.95
+
+
+def test_parse_keeps_what_follows_an_open_head():
+    for page in ("<html><head><title>t</title><body><p>Some text", "<head><meta charset=x><script>no</script><p>Some text", "<html><head><title>t</title>Some text"):
+        assert [x for x in dom.parse(page).text if x] == ["Some text"]
+    assert [x for x in dom.parse("<head><title>t</title><style>a</style></head><body>Some text").text if x] == ["Some text"]
+
+
+def test_parse_reads_formulas_and_fallbacks():
+    for tag in ("math", "object", "canvas", "video", "audio"):
+        assert [x for x in dom.parse(f"<p>so <{tag}>E = mc</{tag}> holds</p>").text if x] == ["so E = mc holds"]
