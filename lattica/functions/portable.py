@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ def coin(p: float, *parts) -> Column:
     return u32(keyed(*parts)) < F.lit(round(p * (1 << 32)))
 
 
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser (three xor-shifts, two multiplications) of integers below 2^32, in 64-bit arithmetic."""
+    x = np.asarray(x, np.uint64)
+    low = np.uint64(0xFFFFFFFF)
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(0x7FEB352D)) & low
+    x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x846CA68B)) & low
+    return x ^ (x >> np.uint64(16))
+
+
 def pack(index: Column, pes: int) -> Column:
     """An index of a cyclic layout in one word: local index above 16 bits of process number (so at most 65,536 processes)."""
     return F.shiftleft(F.floor(index / pes).cast("long"), 16).bitwiseOR(index % pes)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.portable import MULTIPLIER, PRIME, poisson_tail
+from lattica.operators.numbering import numbered
 
 
 def histogram(updates: DataFrame, idx: str = "idx") -> DataFrame:
@@ -46,9 +47,9 @@ def gather_checksum(slot: Column, index: Column) -> Column:
 
 
 def exchange_checksum(seq: Column, source: Column, word: Column) -> Column:
-    """Sum of (2 seq + 2 source + 1) * word, mod 2^63: the same for any order of the rows."""
+    """Sum of (2 seq + 2 source + 1) * word, mod 2^64, the same for any order of the rows; decimal(20,0), as it is unsigned."""
     total = F.sum(((2 * seq + 2 * source + 1).cast("decimal(18,0)") * word.cast("decimal(19,0)")).cast("decimal(38,0)"))
-    return (total % F.lit(Decimal(1 << 63))).cast("decimal(20,0)").cast("long")
+    return F.pmod(total, F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
 
 
 def min_avg_max(df: DataFrame, value: str, among: int) -> DataFrame:
@@ -73,6 +74,7 @@ def block(array: DataFrame, start: int, length: int, idx: str = "idx") -> DataFr
     return array.filter((F.col(idx) >= start) & (F.col(idx) < start + length))
 
 
-def tickets(df: DataFrame, counter: str, order: list[Column]) -> DataFrame:
-    """Fetch-and-add: each row gets the number of rows before it on the same counter."""
-    return df.withColumn("ticket", (F.row_number().over(Window.partitionBy(counter).orderBy(*order)) - 1).cast("long"))
+def tickets(df: DataFrame, counter: str, order: list[Column], bucket: Column) -> DataFrame:
+    """Fetch-and-add: each row gets the number of rows before it on the same counter. ``bucket`` must not fall along the order: it
+    cuts a hot counter's rows into runs that are numbered apart."""
+    return numbered(df, "ticket", order, bucket, by=[counter])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.portable import coin, keyed, u32
+from lattica.functions.portable import coin, keyed, mix32, u32
 from lattica.operators.matrix import Matrix
 from lattica.operators.numbering import numbered
 
@@ -39,19 +39,23 @@ def er_naive(spark: SparkSession, n: int, p: float, seed: int, lower: bool = Tru
 
 
 def er_triangle(spark: SparkSession, n: int, p: float, seed: int, lower: bool = True, diagonal: bool = False, most: int = 1 << 16) -> Matrix:
-    """The same distribution by geometric gaps: work for the entries made, not for the cells. Each row has its own generator,
-    so the graph doesn't depend on the layout; rows are dealt out at random, as row i has i cells."""
+    """The same distribution by geometric gaps: work for the entries made, not for the cells. Gap k of row i is a function of
+    (seed, i, k), so the graph doesn't depend on the layout; rows are dealt out at random, as row i has i cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in batch.column("id").to_pylist():
-                rng, at = np.random.default_rng((seed, i)), -1
+                at, k = -1, 0
+                start = mix32((i + seed * 2654435769) & 0xFFFFFFFF)
                 while at < i:
                     if p >= 1:
                         cols = np.arange(i)
                         at = i
                     else:
-                        gaps = np.minimum(rng.geometric(p, min(most, int(i * p * 1.2) + 16)), i + 1)
+                        some = np.arange(k, k + min(most, int((i - at) * p * 1.2) + 16), dtype=np.uint64)
+                        k += len(some)
+                        coins = (mix32(start ^ some).astype(float) + 0.5) / 4294967296
+                        gaps = np.minimum(np.floor(np.log(coins) / np.log(1 - p)) + 1, i + 1).astype(np.int64)
                         cols = at + np.cumsum(gaps)
                         at = int(cols[-1])
                         cols = cols[cols < i]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,50 +13,84 @@ from lattica.operators.matrix import Matrix
 from lattica.operators.numbering import numbered
 from lattica.session import cut
 
+#: Up to so many edges (about 20 bytes each) are broadcast.
+BROADCAST_EDGES = 1 << 22
+#: Up to so many entries (about 60 bytes each) are peeled in one task; beyond, a level is a pass over the table.
+LOCAL_ENTRIES = 1 << 23
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("row", "col")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+
 
 def oriented(edges: DataFrame) -> DataFrame:
     """(u, v) of each edge (row, col) from the end of smaller degree to the other, ties by id: no vertex then has more than
     sqrt(2 * edges) neighbours, which bounds the wedges however skewed the graph is."""
-    ends = edges.select(F.explode(F.array("row", "col")).alias("x")).groupBy("x").agg(F.count("*").alias("d"))
+    ends = _degrees(edges)
     both = edges.join(ends.select(F.col("x").alias("row"), F.col("d").alias("dr")), "row").join(ends.select(F.col("x").alias("col"), F.col("d").alias("dc")), "col")
     first = F.struct("dr", "row") < F.struct("dc", "col")
     return both.select(F.when(first, F.col("row")).otherwise(F.col("col")).alias("u"), F.when(first, F.col("col")).otherwise(F.col("row")).alias("v"))
 
 
+def _closed(edges: DataFrame, wedges) -> DataFrame:
+    """One row, ``triangles``: how many of the pairs (x, y) that ``wedges`` makes of the oriented edges (u, v) are edges (x, y) of
+    ``closing``. Both ends go into one long where ids allow it, as Spark probes such keys fastest; the edges are broadcast up to
+    ``BROADCAST_EDGES``. Wedges are counted on the way, not kept."""
+    e = cut(oriented(cut(edges)))
+    n, low, high = e.agg(F.count("*"), F.min(F.least("u", "v")), F.max(F.greatest("u", "v"))).first()
+    found, closing = wedges(e)
+    key = ["x", "y"]
+    if n and low >= 0 and high < 1 << 31:
+        found, closing = (df.select(F.shiftleft("x", 32).bitwiseOR(F.col("y")).alias("k")) for df in (found, closing))
+        key = ["k"]
+    return found.join(F.broadcast(closing) if n <= BROADCAST_EDGES else closing, key, "left_semi").agg(F.count("*").alias("triangles"))
+
+
 def triangle_count(edges: DataFrame) -> DataFrame:
-    """One row, ``triangles``: wedges of the oriented edges, closed by an edge. The wedges are counted on the way, not kept."""
-    e = oriented(edges)
-    wedges = e.select("u", F.col("v").alias("x")).join(e.select("u", F.col("v").alias("y")), "u").filter("x < y")
-    closing = e.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
-    return wedges.join(closing, ["x", "y"], "left_semi").agg(F.count("*").alias("triangles"))
+    """One row, ``triangles``: pairs of neighbours of the oriented edges, from one array a vertex, closed by an edge."""
+
+    def wedges(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = e.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+        pairs = rows.select(F.posexplode("vs").alias("at", "x"), "vs").select("x", F.explode(F.slice("vs", F.col("at") + 2, F.size("vs"))).alias("y"))
+        return pairs, e.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+
+    return _closed(edges, wedges)
 
 
 def triangles_lower(edges: DataFrame) -> DataFrame:
-    """L & L*U on the strictly lower (row, col): for each entry (i, j), the k that rows i and j share."""
-    a = edges.select(F.col("row").alias("i"), F.col("col").alias("j"))
-    b = edges.select(F.col("row").alias("j"), F.col("col").alias("k"))
-    c = edges.select(F.col("row").alias("i"), F.col("col").alias("k"))
-    return a.join(b, "j").join(c, ["i", "k"], "left_semi").agg(F.count("*").alias("triangles"))
+    """L & L*U, L having vertices in order of falling degree, so that its rows are short: for each entry (i, j), the k that rows i
+    and j share."""
+
+    def wedges(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = e.select(F.col("u").alias("x"), F.col("v").alias("j")).join(e.select(F.col("u").alias("j"), F.col("v").alias("y")), "j").select("x", "y")
+        return pairs, e.select(F.col("u").alias("x"), F.col("v").alias("y"))
+
+    return _closed(edges, wedges)
 
 
 def triangles_upper(edges: DataFrame) -> DataFrame:
-    """L & U*L: for each entry (i, j), the k above both, by rows of U = transpose of L."""
-    a = edges.select(F.col("row").alias("i"), F.col("col").alias("j"))
-    up = edges.select(F.col("col").alias("i"), F.col("row").alias("k"))
-    closing = edges.select(F.col("col").alias("j"), F.col("row").alias("k"))
-    return a.join(up, "i").join(closing, ["j", "k"], "left_semi").agg(F.count("*").alias("triangles"))
+    """L & U*L, in the same order: for each entry (i, j), the k above both, by rows of U = transpose of L."""
+
+    def wedges(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = e.select(F.col("u").alias("i"), F.col("v").alias("y")).join(e.select(F.col("v").alias("i"), F.col("u").alias("x")), "i").select("x", "y")
+        return pairs, e.select(F.col("u").alias("x"), F.col("v").alias("y"))
+
+    return _closed(edges, wedges)
 
 
 def triangles_push(edges: DataFrame) -> DataFrame:
-    """Wedges (w, v_j) of each row are shipped to row v_j, which tests membership."""
-    a = edges.select("row", F.col("col").alias("vj"))
-    wedges = a.join(edges.select("row", F.col("col").alias("w")), "row").filter("w < vj")
-    return wedges.join(edges.select(F.col("row").alias("vj"), F.col("col").alias("w")), ["vj", "w"], "left_semi").agg(F.count("*").alias("triangles"))
+    """Wedges (w, v_j) of each row, in the same order, are shipped to row v_j, which tests membership."""
+
+    def wedges(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = e.select("u", F.col("v").alias("x")).join(e.select("u", F.col("v").alias("y")), "u").filter("x < y").select("x", "y")
+        return pairs, e.select(F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"))
+
+    return _closed(edges, wedges)
 
 
 def triangles_pull(edges: DataFrame) -> DataFrame:
     """Each entry pulls both rows whole and intersects them; on oriented edges, so rows are short."""
-    e = oriented(edges)
+    e = cut(oriented(cut(edges)))
     rows = e.groupBy("u").agg(F.collect_list("v").alias("vs"))
     pulled = e.join(rows, "u").join(rows.select(F.col("u").alias("v"), F.col("vs").alias("ws")), "v")
     return pulled.agg(F.coalesce(F.sum(F.size(F.array_intersect("vs", "ws"))), F.lit(0)).cast("long").alias("triangles"))
@@ -67,40 +105,84 @@ def wedge_stats(lower: Matrix) -> DataFrame:
     return both.agg(F.sum(F.col("r") * F.col("c")).cast("long").alias("rc"), pairs("r").alias("rr"), pairs("c").alias("cc"))
 
 
-def toposort_levels(matrix: Matrix) -> DataFrame:
+def _peel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (row, col, level: of the row so far) -> (row, col, level) of all rows, peeled level by level in memory. A row that
+    can't be peeled comes with the level -1, rows that claim the same column with -2."""
+    held = [[b.column(c).to_numpy() for c in ("row", "col", "level")] for b in batches if b.num_rows]
+    if not held:
+        return
+    row, col, start = (np.concatenate(x) for x in zip(*held, strict=True))
+    rows, r = np.unique(row, return_inverse=True)
+    cols, c = np.unique(col, return_inverse=True)
+    left, total, level = np.bincount(r), np.bincount(r, c).astype(np.int64), np.zeros(len(rows), np.int64)
+    np.maximum.at(level, r, start)
+    order = np.argsort(c, kind="stable")
+    by_col, ends = r[order], np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(cols)))])
+    matched, claimed = np.full(len(rows), -1, np.int64), np.zeros(len(cols), bool)
+    now = np.flatnonzero(left == 1)
+    while len(now):
+        at = total[now]
+        matched[now], twice = at, claimed[at]
+        if twice.any() or len(np.unique(at)) < len(at):
+            level[:] = -2
+            break
+        claimed[at] = True
+        n = ends[at + 1] - ends[at]
+        freed = by_col[np.repeat(ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.subtract.at(left, freed, 1)
+        np.subtract.at(total, freed, np.repeat(at, n))
+        np.maximum.at(level, freed, np.repeat(level[now] + 1, n) * (left[freed] > 0))
+        now = np.unique(freed[(left[freed] == 1) & (matched[freed] < 0)])
+    level[(matched < 0) & (level >= 0)] = -1
+    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(cols[matched]), pa.array(level)], ["row", "col", "level"])
+
+
+def toposort_levels(matrix: Matrix, local: int | None = None) -> DataFrame:
     """(row, col, level) of a morally triangular matrix: rows with one live entry are peeled, matched to its column, which
     removes that column from all others. level: 0 for rows with one entry at first, else 1 + the greatest level among the rows
-    matched to the row's other columns. One pass a level over the entries; only the table of unpeeled rows is written.
+    matched to the row's other columns.
 
-    Raises ValueError if rows are left and none has a single entry, or if two rows of a level claim a column.
+    While more than ``local`` entries are live (``LOCAL_ENTRIES``), a level is one pass over them, which drops those of peeled rows and
+    columns; the rest is peeled in one task, whose memory the count bounds. Raises ValueError if rows are left and none has a
+    single entry, or if two rows of a level claim a column.
     """
-    entries = cut(matrix.entries)
-    state = cut(entries.groupBy("row").agg(F.count("*").alias("cnt"), F.sum("col").alias("sum")).withColumn("level", F.lit(0).cast("long")))
-    files: list[str] = []
-
-    def done() -> DataFrame:  # all levels in one scan, not in a union of a table a level
-        every = state.sparkSession.read.schema(state.schema).parquet(*files) if files else state
-        return every.filter("cnt = 1").select("row", F.col("sum").alias("col"), "level")
-
-    while True:
-        files += state.inputFiles()
-        single = F.col("cnt") == 1
-        rows, n, columns = state.agg(F.count("*"), F.count_if(single), F.count_distinct(F.when(single, F.col("sum")))).first()
-        if not rows:
-            return done()
-        if n == 0:
-            raise ValueError("no row has a single entry left: the matrix is not morally triangular")
-        if n != columns:
-            raise ValueError("two rows have the same single column: the matrix is singular")
-        peeled = state.filter(single).select("row", F.col("sum").alias("col"), "level")
-        if n == rows:
-            return done()
-        # a column is peeled once, so each entry is counted off once
-        freed = entries.join(peeled.select("col", "level"), "col")
-        less = freed.groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("s"), (F.max("level") + 1).alias("up"))
-        rest = state.filter(~single).join(less, "row", "left")
-        off = lambda c, by: (F.col(c) - F.coalesce(by, F.lit(0))).alias(c)
-        state = cut(rest.select("row", off("cnt", "n"), off("sum", "s"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+    local = LOCAL_ENTRIES if local is None else local
+    live = cut(matrix.entries.select("row", "col", F.lit(0).cast("long").alias("level")))
+    done: list[DataFrame] = []
+    peeled_rows = every = 0
+    while (n := live.count()) > local:
+        every = every or live.select("row").distinct().count()
+        rows = live.groupBy("row").agg(F.count("*").alias("cnt"), F.min("col").alias("col"), F.max("level").alias("level"))
+        peeled = cut(rows.filter("cnt = 1").select("row", "col", "level"))
+        found, columns = peeled.agg(F.count("*"), F.count_distinct("col")).first()
+        if not found:
+            raise ValueError(_STUCK)
+        if found != columns:
+            raise ValueError(_SINGULAR)
+        done.append(peeled)
+        peeled_rows += found
+        gone = peeled.select("col", (F.col("level") + 1).alias("up"), F.col("row").alias("own"))
+        marked = live.join(gone, "col", "left")
+        # a row's level is that of its peeled columns so far; entries of peeled columns go, their rows keep the level
+        lifted = marked.groupBy("row").agg(F.max(F.coalesce("up", F.lit(0))).alias("up"))
+        rest = marked.filter("own is null").select("row", "col", "level").join(lifted, "row")
+        live = cut(rest.select("row", "col", F.greatest("level", "up").alias("level")))
+    last_rows = 0
+    if n:
+        last = cut(live.coalesce(1).mapInArrow(_peel, "row long, col long, level long"))
+        low, last_rows = last.agg(F.min("level"), F.count("*")).first()
+        if low < 0:
+            raise ValueError(_STUCK if low == -1 else _SINGULAR)
+        done.append(last)
+    if every and peeled_rows + last_rows != every:  # a row has lost all its columns to others
+        raise ValueError(_STUCK)
+    if not done:
+        return live
+    return live.sparkSession.read.schema("row long, col long, level long").parquet(*[f for d in done for f in d.inputFiles()])
+
+
+_STUCK = "no row has a single entry left: the matrix is not morally triangular"
+_SINGULAR = "two rows have the same single column: the matrix is singular"
 
 
 def toposort_perm(levels: DataFrame, n: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """The queries' SQL, by key."""
 
 M = 'm AS (SELECT DISTINCT l_partkey AS "row", l_suppkey AS col FROM lineitem)'
+#: Parts that share an order: all edges of the part graph.
 E = 'e AS (SELECT DISTINCT a.l_partkey AS "row", b.l_partkey AS col FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey > b.l_partkey)'
+T = f'{E}, t AS (SELECT col AS u, "row" AS v FROM e)'
 N = "(SELECT count(*) FROM part)"
 
 
@@ -9,10 +11,6 @@ def u32(x: str) -> str:
     return f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
 
 
-def thin(k: int) -> str:
-    return f"{E}, t AS (SELECT col AS u, \"row\" AS v FROM e WHERE {u32("concat(col, ':', \"row\")")} % {k} = 0)"
-
-
 def perm(name: str, table: str, key: str, seed: int) -> str:
     return f"{name} AS (SELECT {key} AS idx, row_number() OVER (ORDER BY md5(concat({key}, ':', {seed})), {key}) - 1 AS newpos FROM {table})"
 
@@ -33,16 +31,26 @@ def kron(b: str, c: str, size: int) -> str:
 
 _EVERY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 MESSAGES = f"g AS (SELECT l_suppkey % 8 AS src, l_partkey % 8 AS dest, l_orderkey, row_number() OVER (PARTITION BY l_suppkey % 8 ORDER BY {_EVERY}) - 1 AS seq FROM lineitem)"
-LEVELS = f'{thin(60)}, reach(v, level) AS (SELECT p_partkey, 0 FROM part UNION SELECT t.u, reach.level + 1 FROM reach JOIN t ON t.v = reach.v), lev AS (SELECT v AS "row", max(level)::BIGINT AS level FROM reach GROUP BY v)'
+LEVELS = f'{T}, reach(v, level) AS (SELECT p_partkey, 0 FROM part UNION SELECT t.u, reach.level + 1 FROM reach JOIN t ON t.v = reach.v), lev AS (SELECT v AS "row", max(level)::BIGINT AS level FROM reach GROUP BY v)'
 TRIANGLES = f"WITH {E} SELECT count(*) AS triangles FROM e a JOIN e b ON a.col = b.\"row\" JOIN e c ON c.\"row\" = a.\"row\" AND c.col = b.col"
-COMPONENTS = f"""WITH RECURSIVE {thin(240)}, w AS (SELECT u, v FROM t UNION SELECT v, u FROM t),
-reach(a, b) AS (SELECT u, u FROM w UNION SELECT reach.a, w.v FROM reach JOIN w ON w.u = reach.b)
-SELECT a AS node, min(b) AS component FROM reach GROUP BY a"""
+COMPONENTS = f"""WITH RECURSIVE {T}, w AS (SELECT u, v FROM t UNION ALL SELECT v, u FROM t),
+reach(node, component) USING KEY (node) AS (SELECT u, u FROM w GROUP BY u UNION
+  SELECT w.v, min(reach.component) FROM reach JOIN w ON w.u = reach.node JOIN recurring.reach AS own ON own.node = w.v WHERE reach.component < own.component GROUP BY w.v)
+SELECT node, component FROM reach"""
+
+
+def mix32(x: str) -> str:
+    """functions.portable.mix32 of an expression of 32 bits."""
+    low = lambda x: f"(({x}) & 4294967295)"
+    y = low(f"xor({x}, ({x}) >> 16) * 2146121005")
+    return f"(SELECT xor(b, b >> 16) FROM (SELECT {low('xor(a, a >> 15) * 2221713035')} AS b FROM (SELECT {y} AS a)))"
+
+
 _CSR = "array_to_string(list_transform(list_sort(list({0})), lambda x: x::VARCHAR), ',')"
 
 ORACLE_SQL: dict[str, str] = {
     "histogram": "SELECT l_partkey AS idx, count(*) AS cnt FROM lineitem GROUP BY 1",
-    "histogram_dense": "SELECT p_partkey AS idx, count(l_partkey) AS cnt FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_partkey % 3 <> 0 GROUP BY 1",
+    "histogram_dense": "SELECT p_partkey AS idx, count(l_partkey) AS cnt FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
     "histogram_weighted": "SELECT l_partkey AS idx, sum(l_orderkey)::BIGINT AS total FROM lineitem GROUP BY 1",
     "histogram_peak": f"""
 WITH h AS (SELECT l_partkey AS idx, count(*) AS cnt FROM lineitem GROUP BY 1), top AS (SELECT idx, cnt FROM h ORDER BY cnt DESC, idx LIMIT 1),
@@ -59,7 +67,7 @@ FROM r FULL JOIN c USING (x)""",
     "reduce_bitor": "SELECT l_suppkey, bit_or(l_partkey) AS bits FROM lineitem GROUP BY 1",
     "reduce_bitand": "SELECT l_suppkey, bit_and(l_partkey) AS bits FROM lineitem GROUP BY 1",
     "min_avg_max": f"WITH h AS (SELECT count(*) AS cnt FROM lineitem GROUP BY l_partkey) SELECT min(cnt) AS min, (sum(cnt) // {N})::BIGINT AS avg_int, round(sum(cnt)::DOUBLE / {N}, 6) AS avg, max(cnt) AS max FROM h",
-    "exchange_checksum": f"WITH {MESSAGES}, s AS (SELECT (sum((2 * seq + 2 * src + 1)::HUGEINT * l_orderkey) % 9223372036854775808)::BIGINT AS s FROM g) SELECT s AS sent, s AS received FROM s",
+    "exchange_checksum": f"WITH {MESSAGES}, s AS (SELECT (sum((2 * seq + 2 * src + 1)::HUGEINT * l_orderkey) % 18446744073709551616)::DECIMAL(20, 0) AS s FROM g) SELECT s AS sent, s AS received FROM s",
     "gather_checksum": "WITH s AS (SELECT (((sum((l_orderkey * 8 + l_linenumber + 1)::HUGEINT * l_partkey) % 3690948119) * 2646891621) % 3690948119)::BIGINT AS s FROM lineitem) SELECT s AS sent, s AS received FROM s",
     "index_gather": "SELECT l_orderkey, l_linenumber, l_partkey AS idx, -(p_partkey + 1) AS val FROM lineitem JOIN part ON l_partkey = p_partkey",
     "index_gather_wide": "SELECT l_orderkey, l_linenumber, l_partkey AS idx, p_name, p_size, p_retailprice FROM lineitem JOIN part ON l_partkey = p_partkey",
@@ -83,17 +91,21 @@ FROM r FULL JOIN c USING (x)""",
     "triu": f'WITH {M} SELECT * FROM m WHERE col - "row" >= 1',
     "is_upper_triangular": f'WITH {E} SELECT (count(*) FILTER (WHERE "row" < col) = 0)::BIGINT AS ok FROM e',
     "is_lower_triangular": f'WITH {E} SELECT (count(*) FILTER (WHERE "row" > col) = 0)::BIGINT AS ok FROM e',
-    "is_unit_upper": f"WITH {thin(60)} SELECT (count(*) FILTER (WHERE u > v) = 0)::BIGINT AS ok FROM t",
+    "is_unit_upper": f"WITH {T} SELECT (count(*) FILTER (WHERE u > v) = 0)::BIGINT AS ok FROM t",
     "is_perm": f"WITH {perm('r', 'part', 'p_partkey', 42)} SELECT (count(DISTINCT newpos) = {N} AND min(newpos) = 0 AND max(newpos) = {N} - 1)::BIGINT AS ok FROM r",
     "compare_matrix": f'WITH {M} SELECT 0::BIGINT AS same, (count(*) FILTER (WHERE col > "row") > 0)::BIGINT AS other FROM m',
     "matrix_union": f"WITH {M} SELECT * FROM m",
-    "degree_one_rows": f'WITH {thin(60)}, d AS (SELECT u AS "row", v AS col FROM t UNION SELECT p_partkey, p_partkey FROM part) SELECT "row", max(col) AS col FROM d GROUP BY 1 HAVING count(*) = 1',
+    "degree_one_rows": f'WITH {T}, d AS (SELECT u AS "row", v AS col FROM t UNION SELECT p_partkey, p_partkey FROM part) SELECT "row", max(col) AS col FROM d GROUP BY 1 HAVING count(*) = 1',
     "mm_write_roundtrip": f"WITH {M} SELECT * FROM m",
-    "mm_read": f'WITH {thin(60)} SELECT u AS "row", v AS col FROM t UNION SELECT v, u FROM t',
+    "mm_read": f'WITH {T} SELECT u AS "row", v AS col FROM t UNION SELECT v, u FROM t',
     "dataset_roundtrip": f"WITH {M} SELECT * FROM m",
     "block_partition_sizes": f"WITH b AS (SELECT i AS writer, ({N} + 7 - i - 1) // 7 AS rows FROM range(7) r(i)) SELECT writer, (sum(rows) OVER (ORDER BY writer) - rows)::BIGINT AS first_row, rows FROM b",
     "rand_perm": f"WITH {perm('r', 'part', 'p_partkey', 42)} SELECT * FROM r",
     "rand_perm_bucketed": f"SELECT p_partkey AS idx, row_number() OVER (ORDER BY {u32("concat(p_partkey, ':', 42, ':b')")} % 64, md5(concat(p_partkey, ':', 42, ':s')), p_partkey) - 1 AS newpos FROM part",
+    "er_graph": f"""
+WITH g AS (SELECT i, k, {mix32(f"xor({mix32('(i + 12345 * 2654435769) & 4294967295')}, k::UBIGINT)")} AS h FROM (SELECT unnest(range((SELECT count(*) FROM part)))::UBIGINT AS i), range(500) r(k)),
+c AS (SELECT i, sum(floor(ln((h::DOUBLE + 0.5) / 4294967296) / ln(0.99)) + 1) OVER (PARTITION BY i ORDER BY k) - 1 AS col FROM g)
+SELECT i::BIGINT AS "row", col::BIGINT AS col FROM c WHERE col < i""",
     "er_naive": f"WITH {cells('x', '300', 0.05, 7, True)} SELECT * FROM x",
     "er_symmetric": f'WITH {cells("x", "300", 0.05, 7, True)} SELECT "row", col FROM x UNION ALL SELECT col, "row" FROM x UNION ALL SELECT i, i FROM range(300) r(i)',
     "er_asymmetric": f'WITH {cells("x", "300", 0.05, 7, False)}, {cells("y", "300", 0.05, 8, True)} SELECT "row", col FROM x UNION ALL SELECT "row", col FROM y',

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.portable import MULTIPLIER, PRIME, pack, unpack
 from lattica.operators import arrays, exchange, generators, graph
 from lattica.operators import matrix as mx
 from lattica.operators.components import components
-from lattica.operators.numbering import running_sum
+from lattica.operators.numbering import numbered, running_sum
 from lattica.plans import inputs
 from lattica.plans.inputs import PES
 from lattica.plans.oracle import ORACLE_SQL
-from lattica.session import shared_folder, table
+from lattica.session import scratch, table
 from lattica.sources import dataset, matrix_market
 from lattica.streaming import steady
 
@@ -30,10 +29,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # scatter and reductions
 
 
@@ -194,7 +189,7 @@ def csr_offsets(spark, d):
 
 @query
 def ticket_numbers(spark, d):
-    lines = arrays.tickets(table(spark, d, "lineitem"), "l_partkey", [F.col(c) for c in inputs.EVERY])
+    lines = arrays.tickets(table(spark, d, "lineitem"), "l_partkey", [F.col(c) for c in inputs.EVERY], F.floor(F.col("l_orderkey") / (1 << 16)))
     return lines.select("l_partkey", "l_orderkey", "l_linenumber", "ticket")
 
 
@@ -296,7 +291,7 @@ def degree_one_rows(spark, d):
 
 @query
 def mm_write_roundtrip(spark, d):
-    path = _scratch(spark, "mm")
+    path = scratch(spark, "mm")
     matrix_market.write(inputs.matrix(spark, d), path)
     return matrix_market.read(spark, path).entries
 
@@ -304,7 +299,7 @@ def mm_write_roundtrip(spark, d):
 @query
 def mm_read(spark, d):
     """A symmetric integer file with comments."""
-    edges, n, path = inputs.edges(spark, d), inputs.rows(spark, d, "part"), _scratch(spark, "mm")
+    edges, n, path = inputs.edges(spark, d), inputs.rows(spark, d, "part"), scratch(spark, "mm")
     text = edges.select(F.concat_ws(" ", (F.col("v") + 1).cast("string"), (F.col("u") + 1).cast("string"), F.lit("7")).alias("value"), F.lit(1).alias("o"))
     head = spark.createDataFrame([("%%MatrixMarket matrix coordinate integer symmetric\n% made of a graph\n" + f"{n} {n} {edges.count()}", 0)], "value string, o int")
     head.union(text).orderBy("o").coalesce(1).select("value").write.text(path)
@@ -313,7 +308,7 @@ def mm_read(spark, d):
 
 @query
 def dataset_roundtrip(spark, d):
-    path = _scratch(spark, "dataset")
+    path = scratch(spark, "dataset")
     dataset.write(inputs.matrix(spark, d), path, 7)
     return dataset.read(spark, path).entries
 
@@ -447,8 +442,8 @@ def toposort_check(spark, d):
 @query
 def level_rank(spark, d):
     levels = graph.toposort_levels(inputs.dag(spark, d))
-    rank = F.row_number().over(Window.partitionBy("level").orderBy("row"))
-    return levels.select("row", "level", rank.cast("long").alias("rank"))
+    placed = numbered(levels, "place", [F.col("row")], F.floor(F.col("row") / (1 << 16)), by=["level"])
+    return placed.select("row", "level", (F.col("place") + 1).alias("rank"))
 
 
 @query

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that ``cut`` has written, in order.
+_written: list[str] = []
+
 
 def local_session(cores: int | str = "*", app: str = "lattica") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -30,31 +34,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary folder stands in on a local master
+    (tests); a cluster's executors could not see one, so there that is an error."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder:
-        return folder
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="lattica-"))
     return sc.getCheckpointDir()
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; ``discard`` deletes it."""
+    return f"{shared_folder(spark)}/lattica-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in this application's folder."""
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read again: its lineage ends there, so lost executors cost no
     recomputation of a loop, and its size is known (a checkpoint keeps the estimate of the plan it came from, which joins in a
-    loop multiply until it has millions of digits). The tables stay until ``discard``."""
+    loop multiply until it has millions of digits). The tables stay until ``drop`` or ``discard``."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _own_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/lattica-{spark.sparkContext.applicationId}"
+def written() -> int:
+    """How many tables ``cut`` has written so far, for ``drop``."""
+    return len(_written)
 
 
-def discard(spark: SparkSession) -> None:
-    """Deletes the tables that this application's operators have written; results that still read them are lost."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+def drop(spark: SparkSession, since: int) -> None:
+    """Deletes the tables that ``cut`` has written after ``since`` tables; results that still read them are lost."""
+    while len(_written) > since:
+        delete(spark, _written.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this application's operators have written; results that still read it are lost."""
+    _written.clear()
+    delete(spark, own_folder(spark))

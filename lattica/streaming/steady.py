@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators.graph import components_incremental
-from lattica.session import shared_folder
+from lattica.session import scratch
 
 
 def steady_histogram(spark: SparkSession, path: str, schema, key: str, files: int = 1) -> DataFrame:
     """(key, cnt) of a Parquet file, or of a folder of them, read as a stream in micro-batches until all that is there is counted. The state is
     a count a key; each micro-batch writes all counts to its own folder, so a replayed batch replaces itself."""
-    folder = f"{shared_folder(spark)}/steady-{uuid.uuid4().hex}"
+    folder = scratch(spark, "steady")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     parent, _, name = path.rpartition("/")
     one = all(f.rstrip("/").endswith(f"/{name}") for f in spark.read.parquet(path).inputFiles())

@@ -128,11 +128,40 @@ def test_toposort_of_permuted_input(spark):
     assert graph.toposort_check(m, wrong).first()[0] == 0
 
 
-def test_toposort_refuses(spark):
+@pytest.mark.parametrize("local", [None, 0, 60])
+def test_toposort_refuses(spark, local):
     with pytest.raises(ValueError, match="morally"):
-        graph.toposort_levels(coo(spark, [(0, 0), (0, 1), (1, 0), (1, 1)], 2))
+        graph.toposort_levels(coo(spark, [(0, 0), (0, 1), (1, 0), (1, 1)], 2), local)
     with pytest.raises(ValueError, match="singular"):
-        graph.toposort_levels(coo(spark, [(0, 0), (1, 0)], 2))
+        graph.toposort_levels(coo(spark, [(0, 0), (1, 0)], 2), local)
+    with pytest.raises(ValueError, match="morally"):  # row 2 loses both its columns at once
+        graph.toposort_levels(coo(spark, [(0, 0), (1, 1), (2, 0), (2, 1)], 3), local)
+
+
+@pytest.mark.parametrize("local", [0, 70])
+def test_toposort_by_levels_and_in_memory(spark, local):
+    ids = spark.range(30).withColumnRenamed("id", "idx")
+    m = generators.morally_triangular(generators.er_naive(spark, 30, 0.15, 5, lower=False, diagonal=True), ids, 3)
+    found = lambda levels: sorted(map(tuple, levels.select("row", "col", "level").collect()))
+    assert found(graph.toposort_levels(m, local)) == found(graph.toposort_levels(m))
+
+
+def test_triangles_of_ids_that_do_not_fit_32_bits(spark):
+    edges = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0)]
+    for shift in (0, 1 << 40, -(1 << 33)):
+        e = spark.createDataFrame([(a + shift, b + shift) for a, b in edges], "row long, col long")
+        for count in (graph.triangle_count, graph.triangles_lower, graph.triangles_upper, graph.triangles_push, graph.triangles_pull):
+            assert count(e).first().triangles == 2
+
+
+@pytest.mark.parametrize("local", [0, 3, 1000])
+def test_components_by_contraction_and_in_memory(spark, local):
+    import random
+
+    r = random.Random(local)
+    edges = [(i, i + 1) for i in range(30)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(35)] + [(200, 200)]
+    got = components(spark.createDataFrame(edges, "u long, v long"), local=local)
+    assert {x.node: x.component for x in got.collect()} == union_find(edges)
 
 
 def union_find(edges):
@@ -182,7 +211,6 @@ def test_fifo_keeps_the_order_of_each_pair(spark):
     sent = spark.createDataFrame([(i % 2, i % 3, i) for i in range(60)], "src long, dest long, seq long")
     got = exchange.fifo(exchange.deliver(sent), [F.col("seq")], F.floor(F.col("seq") / 16)).collect()
     assert all(r.place == r.seq // 6 for r in got) and len(got) == 60
-    assert {(r.src, r.dest): r.seq for r in exchange.last_of_pair(sent).collect()} == {(i % 2, i % 3): i for i in range(54, 60)}
 
 
 def test_matrix_market(spark, tmp_path):
