@@ -1,18 +1,20 @@
 """MinHash near-dedup by an inverted join on signature coordinates.
 
-Documents with equal shingle sets form one class (a 128-bit key of the set), so copies cost one row each. Class
-representatives carry K MinHash coordinates. Each (coordinate, value) pair is a posting list; a pair of documents collides once
-for each list both are in, and is a candidate from ``matches`` collisions on.
-
-Prefix: two documents with T of K collisions share at least one of the K - T + 1 rarest coordinates of either, in an order of
-rarity common to all. So lists of one document are dropped, a document with fewer than T shared coordinates is skipped, and
-the rest post under their rarest coordinates only; frequent lines and passages come last and mostly aren't posted.
-
-Skip merging: a list's members are compared with its smallest member first (its head); verified pairs are merged into
-components. Then lists whose members are all in one component are skipped; in those left, members of different components
-are compared by their whole signatures, in blocks, each pair in one list only. Nearest first: a first round verifies the ``NEAREST`` best
-partners of each member in some lists and merges, and the last round verifies every pair above the match threshold that still lies between two
-components. So no pair that could join two components is left out, and a group of near copies costs some rows a member.
+Documents with equal shingle sets form one class (a 128-bit key of the set), so copies cost one row each. Every class, not every
+doc_id, is a node: rows that repeat a doc_id with different texts are different nodes. Each node carries K MinHash coordinates.
+Each (coordinate, value) pair is a posting list; two nodes collide once for each list both are in.
+
+Prefix: two nodes with T of K collisions share at least one of the K - T + 1 rarest coordinates of either, in an order of
+rarity common to all. So lists of one node are dropped, a node with fewer than T shared coordinates is skipped, and the rest post
+under their rarest coordinates only; frequent lines and passages come last and mostly aren't posted.
+
+Skip merging: lists whose members are all in one component are skipped. Of the others, the members are compared by their whole
+signatures in blocks, each pair in the first list that both are posted in. Those with a partner above the match threshold in
+another component go, with their texts, to the task that verifies them; there a union-find over the block's components skips
+what is joined already, best partners first, and only links that join two components leave the task. So neither candidates nor
+links of a group of near copies are ever rows: a list of m members gives at most m - 1 links. The first round takes the ``WIDE`` largest lists of each node,
+each block by itself; the second takes all lists that are still open, all blocks of a list against its members outside of its largest component. So no
+pair that could join two components is left out.
 
 The posted coordinates are K = 64 with T = 32; whole signatures have ``MORE`` = 128 further ones (a byte each) and a threshold of
 ``TOTAL`` = 120 of 192. Two documents at similarity 0.75 fall below T with a probability of about 2e-6, below the other with 2e-5
@@ -25,26 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import bytewords
-from lattica.operators.components import components
+from lattica.operators.components import components, roots
 from lattica.session import cut
 
 COORDINATES = 64
 MATCHES = 32
 MORE = 128
 TOTAL = 120
-#: Partners of a member that the first round verifies, from so many of its lists, the largest; the last round takes all.
-NEAREST = 4
+#: The first round takes so many lists of each node, the largest.
 WIDE = 4
-#: Partners of one head that are verified in one group.
-GROUP = 256
-#: Members of one list that are compared in one block.
+#: A block has members of this weight; a member weighs 1 for every ``HEAVY`` shingles begun. So a block has 8 MB of shingles at most.
 BLOCK = 2048
-#: Documents to verify are found by a broadcast of their ids up to this many (16 bytes each), by a shuffle beyond.
+HEAVY = 512
+#: Texts to verify are found by a broadcast of their keys up to this many (24 bytes each), by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
+_NO_ID = -(1 << 63)
+#: Bits of a row's role in its block: to be compared with the right rows, a right row, outside of the list's largest component.
+LEFT, RIGHT, MINOR = 1, 2, 4
 
 
 def _signatures(shingle: int, coordinates: int):
@@ -73,107 +76,75 @@ def _signatures(shingle: int, coordinates: int):
                     i = j
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, coordinates, dtype=np.int32)), pa.array(sig.ravel()))
                 packed = pa.Array.from_buffers(pa.binary(), len(more), [None, pa.py_buffer(np.arange(0, more.size + 1, MORE, dtype=np.int32)), pa.py_buffer(more.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat, packed], ["doc_id", "n", "k1", "k2", "sig", "more"])
-
-    return run
-
-
-def _verify(shingle: int, percent: int):
-    """Rows (head, salt, kind, node, text) in order of head, salt, kind: kind 0 is the head itself. Yields verified pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_head, own = None, []
-        for whole in batches:
-            for batch in bytewords.pieces(whole, "text"):
-                s, at = bytewords.distinct(*bytewords.shingles(*bytewords.words(batch.column("text")), shingle))
-                heads, salts, kinds, nodes = (batch.column(c).to_pylist() for c in ("head", "salt", "kind", "node"))
-                found = []
-                for i, (head, salt, kind, node) in enumerate(zip(heads, salts, kinds, nodes, strict=True)):
-                    mine = s[at[i] : at[i + 1]]
-                    if (head, salt) != at_head:
-                        at_head, own = (head, salt), []
-                    if kind == 0:
-                        own.append(mine.copy())
-                        continue
-                    for other in own:
-                        both = len(np.intersect1d(mine, other, assume_unique=True))
-                        if both and 100 * both >= percent * (len(mine) + len(other) - both):
-                            found.append((head, node))
-                            break
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n.astype(np.int64)), pa.array(k1), pa.array(k2), flat, packed], ["doc_id", "mark", "n", "k1", "k2", "sig", "more"])
 
     return run
 
 
-def _pairs(block: dict[str, np.ndarray], total: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one block of a posting list, the pairs (smaller, larger node) of different components with enough collisions whose
-    first list in common is this one; of each node, the ``nearest`` best (0: all)."""
-    x, y = np.flatnonzero(block["side"] == 0), np.flatnonzero(block["side"] == 1)
-    node, component, sig, more, mask = (block[c] for c in ("node", "component", "sig", "more", "mask"))
-    here = int(block["list"][0] >> 32)
-    values, counts = np.unique(component, return_counts=True)
-    most = component == values[counts.argmax()]  # the largest component needs no comparison with itself
-    if not len(x) or not len(y):  # a block with itself
-        every = np.arange(len(node))
-        todo = [(every[~most], every[~most], True), (every[~most], every[most], False)]
-    else:
-        todo = [(x[~most[x]], y, False), (x[most[x]], y[~most[y]], False)]
-    us, vs, ns = [node[:0]], [node[:0]], [np.zeros(0, np.int64)]
-    for left, right, one in todo:
-        for i in range(0, len(left) if len(right) else 0, 256):
-            p = left[i : i + 256]
-            if len(p) * len(right) < 2000:
-                hits = (sig[p][:, None] == sig[right][None]).sum(2) + (more[p][:, None] == more[right][None]).sum(2)
-            else:
-                hits = np.zeros((len(p), len(right)), np.int16)
-                for columns in (sig, more):
-                    for k in range(columns.shape[1]):
-                        hits += columns[p, k][:, None] == columns[right, k][None, :]
-            on = (hits >= total) & (component[p][:, None] != component[right][None, :])
-            if one:
-                on &= node[p][:, None] < node[right][None, :]
-            a, b = np.nonzero(on)
-            n, a, b = hits[a, b], p[a], right[b]
-            shared = (sig[a] == sig[b]) & ((((mask[a] & mask[b])[:, None] >> np.arange(sig.shape[1], dtype=np.uint64)[None, :]) & np.uint64(1)) == 1)
-            first = shared.argmax(1) == here
-            us.append(a[first])
-            vs.append(b[first])
-            ns.append(n[first])
-    a, b, n = np.concatenate(us).astype(np.int64), np.concatenate(vs).astype(np.int64), np.concatenate(ns)
-    if nearest and len(a):
-        keep = np.zeros(len(a), bool)
-        for side in (a, b):
-            order = np.lexsort((np.arange(len(a)), -n, side))
-            head = np.flatnonzero(np.diff(side[order], prepend=-1))
-            rank = np.arange(len(a)) - np.repeat(head, np.diff(np.append(head, len(a))))
-            keep[order[rank < nearest]] = True
-        a, b = a[keep], b[keep]
-    return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
-
-
-def _cross(total: int, nearest: int):
-    """Rows in order of list, x, y: the pairs of every block. A block is at most some thousand rows; one is held at a time."""
-
-    def table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        out = {c: batch.column(c).to_numpy() for c in ("list", "x", "y", "side", "node", "component")}
-        out["mask"] = batch.column("mask").to_numpy().view(np.uint64)
-        out["sig"] = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
-        out["more"] = np.frombuffer(b"".join(batch.column("more").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        return out
+def _table(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {c: batch.column(c).to_numpy() for c in ("list", "x", "y", "role", "node", "component")}
+    out["mask"] = batch.column("mask").to_numpy().view(np.uint64)
+    out["sig"] = batch.column("sig").flatten().to_numpy().reshape(batch.num_rows, -1)
+    out["more"] = np.frombuffer(b"".join(batch.column("more").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return out
+
+
+def _alike(block: dict[str, np.ndarray], total: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, collisions) of a block: pairs of different components with enough collisions whose first list in common is this
+    one; some left rows at a time. Two members outside of the largest component meet twice and are paired the first time."""
+    node, component, sig, more, mask, role = (block[c] for c in ("node", "component", "sig", "more", "mask", "role"))
+    here, right = int(block["list"][0] >> 32), np.flatnonzero(role & RIGHT)
+    left, minor = np.flatnonzero(role & LEFT), (role[right] & MINOR) > 0
+    for i in range(0, len(left) if len(right) else 0, 256):
+        p = left[i : i + 256]
+        if len(p) * len(right) < 2000:
+            hits = (sig[p][:, None] == sig[right][None]).sum(2) + (more[p][:, None] == more[right][None]).sum(2)
+        else:
+            hits = np.zeros((len(p), len(right)), np.int16)
+            for columns in (sig, more):
+                for k in range(columns.shape[1]):
+                    hits += columns[p, k][:, None] == columns[right, k][None, :]
+        on = (hits >= total) & (component[p][:, None] != component[right][None, :]) & (~minor[None, :] | (node[p][:, None] < node[right][None, :]))
+        a, b = np.nonzero(on)
+        n, a, b = hits[a, b], p[a], right[b]
+        shared = (sig[a] == sig[b]) & ((((mask[a] & mask[b])[:, None] >> np.arange(sig.shape[1], dtype=np.uint64)[None, :]) & np.uint64(1)) == 1)
+        first = shared.argmax(1) == here
+        yield a[first], b[first], n[first]
+
+
+_BLOCK = "list long, x int, y int, sub long, role int, node long, component long, mask long, sig array<int>, more binary"
+
+
+def _partners(total: int):
+    """Rows in order of list, x, y -> those with a partner, ``sub`` being the group of all that partners connect. One block is held
+    at a time."""
+
+    def out(block: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for x, y, _ in _alike(block, total):
+            if len(x):
+                node, root = roots(np.concatenate([a, x]), np.concatenate([b, y]))  # stars: no more than a row a member
+                a, b = root, node
+        if not len(a):
+            return None
+        n, k = len(b), block["sig"].shape[1]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(block["sig"][b].ravel()))
+        packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, n * MORE + 1, MORE, dtype=np.int32)), pa.py_buffer(block["more"][b].tobytes())])
+        columns = [pa.array(block["list"][b]), pa.array(block["x"][b]), pa.array(block["y"][b]), pa.array(a), pa.array(block["role"][b]), pa.array(block["node"][b]), pa.array(block["component"][b]), pa.array(block["mask"][b].view(np.int64)), flat, packed]
+        return pa.RecordBatch.from_arrays(columns, ["list", "x", "y", "sub", "role", "node", "component", "mask", "sig", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
 
         def done():
-            block = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            block = {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in held[0]}
             held.clear()
-            return _pairs(block, total, nearest)
+            return out(block)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now, found = table(batch), []
+            now, found = _table(batch), []
             moved = (np.diff(now["list"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0)
             edges = np.concatenate([[0], np.flatnonzero(moved) + 1, [batch.num_rows]])
             for i, j in zip(edges[:-1], edges[1:], strict=True):
@@ -181,88 +152,133 @@ def _cross(total: int, nearest: int):
                 if held and any(held[0][c][0] != part[c][0] for c in ("list", "x", "y")):
                     found.append(done())
                 held.append(part)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["head", "node"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in done()], ["head", "node"])
+            yield from (f for f in found if f is not None)
+        if held and (last := done()) is not None:
+            yield last
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of the (head, node) pairs, those whose full texts are similar enough, as (u, v)."""
-    salts = pairs.groupBy("head").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    pairs = pairs.join(salts, "head").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    members = pairs.select("head", "salt", F.lit(1).alias("kind"), "node")
-    heads = pairs.select("head", "salt").distinct().select("head", "salt", F.lit(0).alias("kind"), F.col("head").alias("node"))
-    wanted = cut(members.union(heads))
-    ids = wanted.select("node").distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    if wanted.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(ids), "node", "left_semi")
-    rows = wanted.join(texts, "node").select("head", "salt", "kind", "node", "text")
-    rows = rows.repartition("head", "salt").sortWithinPartitions("head", "salt", "kind")
-    return rows.mapInArrow(_verify(shingle, percent), "u long, v long")
+def _links(group: list[dict], sets: list[np.ndarray], total: int, percent: int) -> list[tuple[int, int]]:
+    """Of the members of a group, with their shingle sets, the links that join two components; partners with most collisions first."""
+    block = {c: np.concatenate([g[c] for g in group]) for c in group[0]}
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(size)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own, label, found = np.zeros(int(ids.max(initial=-1)) + 1, bool), np.unique(block["component"], return_inverse=True)[1], []
+    for a, b, n in _alike(block, total):
+        order = np.lexsort((-n, a))
+        a, b = a[order], b[order]
+        for i, j in zip(heads := np.flatnonzero(np.diff(a, prepend=-1)), np.append(heads[1:], len(a)), strict=True):
+            me, others, step = a[i], b[i:j], 4
+            own[ids[ends[me] - size[me] : ends[me]]] = True
+            while len(others := others[label[others] != label[me]]):
+                now, others, step = others[:step], others[step:], 64
+                m = size[now]
+                at = np.repeat(ends[now] - np.cumsum(m), m) + np.arange(m.sum())
+                both = np.add.reduceat(own[ids[at]], np.cumsum(m) - m, dtype=np.int64)
+                for k in now[100 * both >= percent * (size[me] + m - both)]:
+                    if label[k] != label[me]:
+                        label[label == label[k]] = label[me]
+                        found.append((int(block["node"][me]), int(block["node"][k])))
+            own[ids[ends[me] - size[me] : ends[me]]] = False
+    return found
+
+
+def _verify(shingle: int, total: int, percent: int):
+    """Rows in order of list, x, y, sub, with texts -> (u, v): links that join two components of a group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, sets = None, [], []
+        for whole in batches:
+            for batch in bytewords.pieces(whole, "text"):
+                if not batch.num_rows:
+                    continue
+                s, at = bytewords.distinct(*bytewords.shingles(*bytewords.words(batch.column("text")), shingle))
+                now, sub, found = _table(batch), batch.column("sub").to_numpy(), []
+                moved = (np.diff(now["list"]) != 0) | (np.diff(now["x"]) != 0) | (np.diff(now["y"]) != 0) | (np.diff(sub) != 0)
+                edges = np.concatenate([[0], np.flatnonzero(moved) + 1, [batch.num_rows]])
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    mine = tuple(now[c][i] for c in ("list", "x", "y")) + (sub[i],)
+                    if group and key != mine:
+                        found += _links(group, sets, total, percent)
+                        group, sets = [], []
+                    key = mine
+                    group.append({c: v[i:j] for c, v in now.items()})
+                    sets += [s[at[k] : at[k + 1]].copy() for k in range(i, j)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+        if group and (found := _links(group, sets, total, percent)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
 
-def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MATCHES, total: int = TOTAL) -> tuple[DataFrame, DataFrame]:
-    """(classes, links) of ``docs`` (doc_id, text).
+    return run
 
-    classes: (doc_id, n, k1, k2, rep) a row a document; rep is the smallest doc_id with the same shingle set. links: (u, v),
-    verified pairs of representatives that connect every component of the similarity graph.
+
+def _with_texts(wanted: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``wanted`` (node, ...) with the node's text: that of the row whose key it is."""
+    keys = cut(rows.select(F.col("at").alias("node"), "id_", "mark").join(wanted.select("node").distinct(), "node"))
+    small = F.broadcast if keys.count() <= BROADCAST_IDS else (lambda x: x)
+    texts = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id_"), F.xxhash64("text").alias("mark"), "text").join(small(keys), ["id_", "mark"])
+    return wanted.join(texts.select("node", "text").dropDuplicates(["node"]), "node")  # rows equal in both are copies
+
+
+def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MATCHES, total: int = TOTAL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links) of ``docs`` (doc_id, text).
+
+    rows: (doc_id, n, k1, k2) a row for each row of ``docs``. classes: (k1, k2, node, rep) a row for each shingle set that isn't empty; rep is its
+    smallest doc_id. links: (u, v), links of nodes that connect every component: verified pairs, and classes that share a doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(docs.mapInArrow(_signatures(shingle, COORDINATES), "doc_id long, n long, k1 long, k2 long, sig array<int>, more binary"))
-    sets = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    # a null doc_id can't represent: such a class links with nothing but itself
-    reps = sets.filter("rep is not null").select(F.col("rep").alias("doc_id"), "k1", "k2")
-    signed = rows.filter("n > 1").join(reps, ["doc_id", "k1", "k2"], "left_semi").select(F.col("doc_id").alias("node"), "sig", "more").dropDuplicates(["node"])
+    made = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(_signatures(shingle, COORDINATES), "doc_id long, mark long, n long, k1 long, k2 long, sig array<int>, more binary")
+    rows = cut(made.withColumn("at", F.monotonically_increasing_id()).withColumn("id_", F.coalesce("doc_id", F.lit(_NO_ID))))
+    classes = cut(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("at").alias("node"), F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    signed = rows.join(classes.filter("n > 1").select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "n", "sig", "more")
 
     # posting lists: (coordinate, value) in one long
-    posts = signed.select("node", F.posexplode("sig").alias("k", "value")).select("node", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list"))
+    posts = signed.select("node", "n", F.posexplode("sig").alias("k", "value")).select("node", "n", F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("value").bitwiseAND(F.lit(0xFFFFFFFF))).alias("list"))
     shared = posts.groupBy("list").agg(F.count("*").alias("c")).filter("c > 1")
-    ranked = posts.join(shared, "list").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "list"))).alias("lists"))
-    keep = F.size("lists") - F.lit(matches - 1)  # the rarest K - T + 1, less the lists of one document
-    kept = ranked.filter(keep > 0).select("node", F.transform(F.slice("lists", F.lit(1), keep), lambda p: p["list"]).alias("lists"))
+    ranked = posts.join(shared, "list").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "list"))).alias("lists"))
+    keep = F.size("lists") - F.lit(matches - 1)  # the rarest K - T + 1, less the lists of one node
+    kept = ranked.filter(keep > 0).select("node", "n", F.transform(F.slice("lists", F.lit(1), keep), lambda p: p["list"]).alias("lists"))
     # the posted coordinates as bits: a pair is judged in the first list that both are posted in
     bit = lambda acc, p: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(p, 32).cast("int")))
     masks = [F.aggregate(x, F.lit(0).cast("long"), bit) for x in (F.col("lists"), F.slice("lists", F.greatest(F.lit(1), F.size("lists") - (WIDE - 1)), F.lit(WIDE)))]
-    posted = kept.select("node", masks[0].alias("mask"), masks[1].alias("wide_mask"), F.size("lists").alias("n"), F.posexplode("lists").alias("at", "list"))
-    posted = cut(posted.select("node", "mask", "wide_mask", "list", (F.col("at") >= F.col("n") - WIDE).alias("wide")))
-
-    heads = posted.groupBy("list").agg(F.min("node").alias("head"), F.count("*").alias("members")).filter("members > 1").select("list", "head")
-    first = posted.join(heads, "list").filter("head <> node").select("head", "node").distinct()
-    enough = F.size(F.filter(F.arrays_zip(F.col("sig").alias("x"), F.col("other").alias("y")), lambda z: z["x"] == z["y"])) >= matches
-    pairs = (
-        first.join(signed.select("node", "sig"), "node").withColumnRenamed("sig", "other")
-        .join(signed.select(F.col("node").alias("head"), "sig"), "head")
-        .filter(enough).select("head", "node")
-    )
-    tried = cut(pairs)
-    links = cut(_verified(tried, docs, shingle, percent))
+    weight = F.ceil(F.col("n") / HEAVY).cast("int").alias("weight")
+    posted = kept.select("node", weight, masks[0].alias("mask"), masks[1].alias("wide_mask"), F.size("lists").alias("n"), F.posexplode("lists").alias("at", "list"))
+    posted = cut(posted.select("node", "weight", "mask", "wide_mask", "list", (F.col("at") >= F.col("n") - WIDE).alias("wide")))
+
+    # classes that share a doc_id
+    ids = rows.filter("n > 0 and doc_id is not null").join(classes.select("k1", "k2", "node"), ["k1", "k2"]).select("doc_id", "node")
+    twice = ids.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("hi")).filter("u <> hi").select("doc_id", "u")
+    links = cut(ids.join(twice, "doc_id").filter("u <> node").select("u", F.col("node").alias("v")).distinct())
 
-    for nearest in (NEAREST, 0):
+    for wide in (True, False):
         found = components(links)
-        members = posted.filter("wide").withColumn("mask", F.col("wide_mask")) if nearest else posted
+        members = (posted.filter("wide").withColumn("mask", F.col("wide_mask")) if wide else posted).select("node", "weight", "mask", "list")
         at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_lists = at.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("list", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        sums = at.groupBy("list", "component").agg(F.sum("weight").alias("w")).groupBy("list").agg(F.count("*").alias("parts"), F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("top"))
+        blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+        open_lists = sums.filter("parts > 1").select("list", F.col("top.component").alias("major"), blocks(F.col("w")).alias("ys"), (F.lit(1) if wide else blocks(F.col("w") - F.col("top.w"))).alias("xs"))
+        minor = F.col("component") != F.col("major")
+        ownx, owny = F.pmod(F.xxhash64("node", F.lit(1)), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node"), F.col("ys")).cast("int")
+        role = lambda left: F.when(minor & left, F.lit(LEFT | RIGHT | MINOR)).when(minor, F.lit(RIGHT | MINOR)).otherwise(F.lit(RIGHT))
+        places = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), owny.alias("y"), role(x == ownx).alias("role")))
+        if not wide:  # members outside of the largest component go to all blocks of their list
+            others = F.filter(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: y != owny)
+            places = F.concat(places, F.when(minor, F.transform(others, lambda y: F.struct(ownx.alias("x"), y.alias("y"), F.lit(LEFT | MINOR).alias("role")))).otherwise(F.slice(places, 1, 0)))
         sides = (
-            at.join(open_lists, "list").groupBy("node", "component", "mask").agg(F.collect_list(F.struct("list", "blocks")).alias("lists"))
-            .join(signed, "node")  # a row a document; its lists come apart after it
-            .withColumn("open", F.explode("lists")).select("node", "component", "mask", "sig", "more", "open.*")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-            .withColumn("side", (F.col("block") == F.col("y")).cast("int"))
-            .select("list", "x", "y", "side", "node", "component", "mask", "sig", "more")
+            at.join(open_lists, "list").select("node", "component", "mask", F.struct("list", places.alias("places")).alias("p"))
+            .groupBy("node", "component", "mask").agg(F.collect_list("p").alias("lists"))
+            .join(signed.drop("n"), "node")  # a row a node; its lists come apart after it
+            .withColumn("p", F.explode("lists")).withColumn("q", F.explode("p.places"))
+            .select("p.list", "q.x", "q.y", "q.role", "node", "component", "mask", "sig", "more")
         )
         sides = sides.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y")
-        new = sides.mapInArrow(_cross(total, nearest), "head long, node long").distinct()
-        new = cut(new.join(tried, ["head", "node"], "left_anti"))
-        if not new.isEmpty():
-            tried = cut(tried.union(new))
-            links = cut(links.union(_verified(new, docs, shingle, percent)))
-    return rows.drop("sig", "more").join(sets, ["k1", "k2"], "left"), links
+        wanted = cut(sides.mapInArrow(_partners(total), _BLOCK))
+        order = ["list", "x", "y", "sub"]
+        groups = _with_texts(wanted, rows, docs).repartition(*order).sortWithinPartitions(*order)
+        links = cut(links.union(groups.mapInArrow(_verify(shingle, total, percent), "u long, v long")))
+    return rows.select("doc_id", "n", "k1", "k2"), classes.drop("n"), links
 
 
 def dedup(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -270,14 +286,16 @@ def dedup(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
 
     Null, empty and blank texts have no shingles and are linked with nothing; texts of fewer words than a shingle count as one
     shingle, so they are linked with equals only. Rows that repeat a doc_id with the same text share a class; with different
-    texts each row has its own class, and a link of any of them counts for that doc_id. A null doc_id gets the component of
-    its class (null, if the class has no other member) and is not kept. An empty table gives an empty result.
+    texts each has its own class, and a link of any of them counts for that doc_id, which joins their components. A null doc_id gets the component of
+    its class (null, if no member of that has a doc_id) and is not kept. An empty table gives an empty result.
     """
-    classes, links = link(docs, shingle, percent)
-    found = components(links).select(F.col("node").alias("rep"), "component")
+    rows, classes, links = link(docs, shingle, percent)
+    found = components(links)
+    least = found.join(classes, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.join(found.join(least, "component").select("node", "least"), "node", "left").select("k1", "k2", F.coalesce("least", "rep").alias("least"))
     return (
-        classes.join(found, "rep", "left")
-        .withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")))
+        rows.join(named, ["k1", "k2"], "left")
+        .withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")))
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     )
 

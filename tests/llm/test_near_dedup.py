@@ -73,10 +73,30 @@ def test_chains_and_a_shared_passage(spark):
 
 def test_blocks_of_a_large_list(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 7)
-    monkeypatch.setattr(near_dedup, "GROUP", 3)
+    monkeypatch.setattr(near_dedup, "HEAVY", 100)
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     base = text(77, 150)
     check(spark, [(i, edited(base, i, 5)) for i in range(30)])
+    check(spark, [(i, edited(base, i, 9 + i % 5)) for i in range(45)])  # some links are missing
+
+
+def test_a_group_gives_no_more_links_than_members(spark):
+    base = text(78, 120)
+    _, classes, links = near_dedup.link(spark.createDataFrame([(i, edited(base, i, 3)) for i in range(80)], "doc_id long, text string"))
+    assert links.count() <= 33 * classes.count()
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """doc_id 7 stands on two texts; 8 is near one, 9 near the other."""
+    a, b = text(50, 40), text(51, 40)
+    docs = spark.createDataFrame([(7, a), (7, b), (8, a + " end"), (9, b + " end"), (3, text(52, 40))], "doc_id long, text string")
+    for parts in (1, 2, 3, 5):
+        got = near_dedup.dedup(docs.repartition(parts, "text")).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 7), (7, 7), (8, 7), (9, 7)]
+    low = docs.union(spark.createDataFrame([(2, b + " tail")], docs.schema))  # what reaches one text of 7 reaches the other
+    assert {(r.doc_id, r.component_id) for r in near_dedup.dedup(low).collect()} == {(2, 2), (3, 3), (7, 2), (8, 2), (9, 2)}
+    widened_, kept = widened(docs), near_dedup.keep_one(widened(docs))
+    assert kept.columns == widened_.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 7]
 
 
 def test_odd_rows(spark):
@@ -89,7 +109,7 @@ def test_odd_rows(spark):
     for blank in (1, 2, 3):
         assert by[blank] == [(0, blank, True)]
     assert by[4] == [(1, 4, True)] and by[5] == [(1, 5, True)]
-    assert [x[1] for x in by[6]] == [6, 6] and sorted(x[1] for x in by[7]) == [6, 7] and by[8][0][1] == 6
+    assert [x[1] for x in by[6]] == [6, 6] and [x[1] for x in by[7]] == [6, 6] and by[8][0][1] == 6  # what reaches one text of 7 reaches the other
     assert {(x[1], x[2]) for x in by[None]} == {(6, False), (None, False)}
     assert by[9][0][0] == len(shingle_set(dict((r[0], r[1]) for r in odd_rows())[9]))
     assert near_dedup.dedup(empty(spark)).count() == 0
