@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -72,10 +73,15 @@ def written() -> int:
     return len(_written)
 
 
-def drop(spark: SparkSession, since: int) -> None:
-    """Deletes the tables that ``cut`` has written after ``since`` tables; results that still read them are lost."""
-    while len(_written) > since:
-        delete(spark, _written.pop())
+def drop(spark: SparkSession, since: int, keep: int = 0) -> None:
+    """Deletes the tables that ``cut`` has written after ``since`` tables, but for the last ``keep``; results that still read them
+    are lost. Shuffle files of what is no longer referenced go too, which else waits for the driver's next garbage collection."""
+    last = _written[len(_written) - keep :]
+    for path in _written[since : len(_written) - keep]:
+        delete(spark, path)
+    _written[since:] = last
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
