@@ -7,8 +7,11 @@ machine knows: linear weights as well as pairwise interactions, so that a term c
 a long text.
 
 The fit uses a bounded sample of labelled rows (``sample``, those with the smallest hash of their key), one of each group of
-near copies, and the features that occur in at least ``LEAST`` of them and tell the classes apart (``SURE`` standard errors), which
-Spark counts. The fit itself runs in numpy on the driver, on a bounded number of rows and features. Scoring reads all texts once, whole.
+near copies of one label, and the features that occur in at least ``LEAST`` of them and help to tell the classes apart, alone or in
+pairs. Alone: their rows' share of label 1 is ``SURE`` standard errors from that of all rows; Spark counts these, the ``MOST`` surest are
+taken. In pairs: among the ``PAIRED`` most frequent features, those with a partner beside which their rows' share of label 1 is ``SURE_PAIR`` standard errors
+from what both give alone and added up; ``MOST_PAIRED`` of them at most. So a term counts that is harmless alone. These bounds are the model's size, whatever the
+corpus's. The fit itself runs in numpy on the driver, on a bounded number of rows and features. Scoring reads all texts once, whole.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ BEGINNINGS = (4, 5, 6, 7)
 SAMPLE = 8_000
 #: A feature must occur in so many sampled documents, and tell the classes apart by so many standard errors; so many are kept.
 LEAST, SURE, MOST = 5, 3.5, 4096
+#: So many of the most frequent features are looked at in pairs; a pair must deviate by so many standard errors, of half a million
+#: pairs hardly one does by chance; so many features are kept.
+PAIRED, SURE_PAIR, MOST_PAIRED = 1024, 6.5, 512
 #: Terms are runs of letters and digits; all bytes above 127 belong to letters.
 STOPS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 
@@ -99,8 +105,34 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pair_features(y: np.ndarray, doc: np.ndarray, term: np.ndarray, candidates: np.ndarray, least: int = LEAST, sure: float = SURE_PAIR, most: int = MOST_PAIRED) -> np.ndarray:
+    """Those of the ``candidates`` (ascending) that, beside another of them, change the share of label 1 by more than both alone do."""
+    n, share = len(y), y.mean()
+    place = np.searchsorted(candidates, term)
+    on = (place < len(candidates)) & (candidates[np.minimum(place, len(candidates) - 1)] == term)
+    doc, place = doc[on], place[on]
+    both, toxic = np.zeros((2, len(candidates), len(candidates)), np.float32)
+    for rows in np.array_split(np.concatenate([np.flatnonzero(y == 0), np.flatnonzero(y == 1)]), range(1000, n, 1000)):
+        at = np.full(n, -1)
+        at[rows] = np.arange(len(rows))
+        here = at[doc] >= 0
+        x = np.zeros((len(rows), len(candidates)), np.float32)
+        x[at[doc[here]], place[here]] = 1
+        both += x.T @ x
+        x = x[y[rows] == 1]
+        toxic += x.T @ x
+    own = np.diag(toxic) / np.maximum(np.diag(both), 1) - share
+    expected = np.clip(share + own[:, None] + own[None, :], share / 20, 1 - (1 - share) / 20)
+    z = np.abs(toxic - both * expected) / np.sqrt(np.maximum(both, 1) * expected * (1 - expected))
+    z[both < least] = 0
+    np.fill_diagonal(z, 0)
+    best = z.max(1, initial=0)
+    chosen = np.argsort(-best, kind="stable")[:most]
+    return np.sort(candidates[chosen[best[chosen] >= sure]])
+
+
 def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, least: int = LEAST, z: float = SURE, most: int = MOST, rounds: int = 300, l2: float = 2e-4, seed: int = 1) -> Machine:
-    """From labels and (document, feature) pairs: Adam on the mean log loss with an L2 penalty; deterministic."""
+    """From labels and (document, feature) pairs, each once: Adam on the mean log loss with an L2 penalty; deterministic."""
     n, pos = len(y), float(y.sum())
     prior = float(np.log((pos + 0.5) / (n - pos + 0.5))) if n else -3.0
     empty = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), prior)
@@ -111,10 +143,12 @@ def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, leas
     toxic = np.bincount(term[y[doc] == 1], minlength=size)
     share = pos / n
     sure = (toxic - df * share) / np.sqrt(np.maximum(df, 1) * share * (1 - share))
-    known = np.flatnonzero((df >= least) & (np.abs(sure) >= z))
-    known = known[known < 2 * LEVEL]
-    if len(known) > most:
-        known = np.sort(known[np.argsort(-np.abs(sure[known]), kind="stable")[:most]])
+    frequent = np.flatnonzero((df >= least) & (df < n))
+    frequent = frequent[frequent < 2 * LEVEL]
+    known = frequent[np.abs(sure[frequent]) >= z]
+    known = known[np.argsort(-np.abs(sure[known]), kind="stable")[:most]]
+    paired = np.sort(frequent[np.argsort(-np.minimum(df, n - df)[frequent], kind="stable")[:PAIRED]])
+    known = np.union1d(known, pair_features(y, doc, term, paired)) if len(paired) else known
     if not len(known):
         return empty
     known = np.concatenate([known, np.arange(2 * LEVEL, size)])
@@ -142,32 +176,40 @@ def fit(y: np.ndarray, doc: np.ndarray, term: np.ndarray, factors: int = 4, leas
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """A machine fitted to at most ``sample`` labelled documents outside the held-out fold."""
+    """A machine fitted to at most ``sample`` labelled documents outside the held-out fold. Of rows that repeat a doc_id the one
+    whose text has the smallest hash is learnt from. Null texts are empty; null doc_ids and labels other than 0 and 1 aren't
+    learnt from. Without rows of both labels, every score is the share of label 1."""
     chosen = training(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("y", "text")
+    rows = docs.select(F.col("doc_id"), F.struct(F.xxhash64("text").alias("h"), "text").alias("t")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("t")["text"].alias("text")).select("y", "text")
     rows = cut(rows.mapInArrow(_features, "y int, sketch array<long>, terms array<int>"))
-    for k in (0, 1):  # one of each group of near copies
-        rows = rows.groupBy(F.col("sketch")[k]).agg(F.min(F.struct("sketch", "y", "terms")).alias("r")).select("r.*")
-    rows = cut(rows)
+    rows = cut(rows.groupBy("y", "sketch").agg(F.min("terms").alias("terms")))  # one of each group of near copies
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = min(max(pos / max(n, 1), 1e-9), 1 - 1e-9)
-    counts = rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("y").alias("toxic"))
+    counts = cut(rows.select("y", F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df"), F.sum("y").alias("toxic")).filter((F.col("df") >= LEAST) & (F.col("df") < n) | (F.col("t") >= 2 * LEVEL)))
     sure = F.abs(F.col("toxic") - F.col("df") * share) / F.sqrt(F.col("df") * (share * (1 - share)))
-    useful = counts.filter((F.col("t") >= 2 * LEVEL) | ((F.col("df") >= LEAST) & (sure >= SURE)))
-    best = useful.orderBy(F.col("t") < 2 * LEVEL, sure.desc(), "t").limit(MOST + 64)
-    known = np.array([r.t for r in best.select("t").collect()], np.int32)
+    word = F.col("t") < 2 * LEVEL
+    best = [r.t for r in counts.filter(~word | (sure >= SURE)).orderBy(word, sure.desc(), "t").limit(MOST + 64).select("t").collect()]
+    often = [r.t for r in counts.filter(word).orderBy(F.least("df", n - F.col("df")).desc(), "t").limit(PAIRED).select("t").collect()]
+    known = np.unique(np.array(best + often, np.int32))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             terms = [x[np.isin(x, known)] for x in (np.array(t, np.int32) for t in batch.column("terms").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("sketch"), pa.array(terms, pa.list_(pa.int32()))], ["y", "sketch", "terms"])
 
-    got = rows.select("y", "sketch", "terms").mapInArrow(prune, "y int, sketch array<long>, terms array<int>").toArrow()  # some features of at most ``sample`` rows
-    y, sketch, terms = got["y"].to_pylist(), got["sketch"].to_pylist(), got["terms"].to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (sketch[i], y[i]))
-    doc = np.repeat(np.arange(len(y)), [len(terms[i]) for i in order]) if y else np.zeros(0, np.int64)
-    term = np.array([t for i in order for t in terms[i]], np.int64)
-    return fit(np.array([y[i] for i in order], float), doc, term)
+    got = rows.select("y", "sketch", "terms").mapInArrow(prune, "y int, sketch array<long>, terms array<int>").toArrow().combine_chunks()  # some features of at most ``sample`` rows
+    if not got.num_rows:
+        return fit(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    y, terms = got["y"].to_numpy().astype(float), got["terms"].chunk(0)
+    number = np.diff(terms.offsets.to_numpy())
+    flat = terms.values.to_numpy().astype(np.int64)[terms.offsets[0].as_py() :]
+    sketch = got["sketch"].chunk(0).flatten().to_numpy().reshape(len(y), 2)
+    rank = np.empty(len(y), np.int64)
+    rank[order := np.lexsort((y, sketch[:, 1], sketch[:, 0]))] = np.arange(len(y))
+    doc = np.repeat(rank, number)
+    by = np.lexsort((flat, doc))
+    return fit(y[order], doc[by], flat[by])
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -187,7 +229,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def reject(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs`` that the machine doesn't call toxic, columns as before; one pass, no shuffle."""
+    """The rows of ``docs`` that the machine doesn't call toxic, columns as before, whatever their names; one pass, no shuffle. Null and empty
+    texts have the score of no terms; repeated rows stay or go together; an empty table gives an empty result."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
