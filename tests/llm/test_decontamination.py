@@ -11,23 +11,27 @@ from tests.llm.common import documents, empty, text, widened
 from tests.llm.test_near_dedup import brute as near_brute
 
 
-def shingles(t):
+def shingles(t, k=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-    return len(w), [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    return len(w), [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
 
 def brute(docs, items):
+    """{(doc_id, item_id): (similarity, start)} of the best window, of equals the last."""
     found = {}
-    for d, t in docs:
-        n, s = shingles(t)
-        for i, u in items:
-            m, own = shingles(u)
-            bag, width = collections.Counter(own), min(m, n) - 4
-            for at in range(len(s) - width + 1) if own and s else ():
+    for i, u in items:
+        m = shingles(u)[0]
+        k = min(m, 5)
+        own = shingles(u, k)[1] if m else []
+        bag = collections.Counter(own)
+        for d, t in docs if own else ():
+            n, s = shingles(t, k)
+            width = min(m, n) - k + 1
+            for at in range(len(s) - width + 1) if s else ():
                 here = collections.Counter(s[at : at + width])
                 both, union = sum((here & bag).values()), sum((here | bag).values())
                 if 100 * both >= 75 * union:
-                    found[d, i] = max(found.get((d, i), 0), both / union)
+                    found[d, i] = max(found.get((d, i), (0, 0)), (both / union, at))
     return found
 
 
@@ -52,7 +56,31 @@ def test_against_all_windows(spark):
     docs, items = corpus()
     got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute(docs, items)
-    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()} and len(want) > 40
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in got} == {k: (round(v, 9), at) for k, (v, at) in want.items()} and len(want) > 40
+    assert any(len(u.split()) < 5 for i, u in items if u and any(k[1] == i for k in want))
+
+
+def test_fingerprints_judge_nearly_equal_windows_alike(spark):
+    """The radius loses none of many windows near the threshold, and most unrelated pairs are beyond it."""
+    from pyspark.sql import functions as F
+
+    r, pairs = random.Random(8), []
+    for i in range(400):
+        a = [r.getrandbits(63) for _ in range(r.randint(16, 60))]
+        cut = len(a) // 8
+        pairs.append((a, a[: len(a) - cut] + [r.getrandbits(63) for _ in range(cut)], [r.getrandbits(63) for _ in a]))
+    frame = spark.createDataFrame(pairs, "a array<long>, b array<long>, c array<long>")
+    prints = frame.select(*[decontamination._simhash(F.col(c)).alias(c) for c in "abc"])
+    ones = [sum(h >> j & 1 for h in pairs[0][0]) * 2 > len(pairs[0][0]) for j in range(64)]
+    assert [prints.first().a >> j & 1 for j in range(64)] == list(map(int, ones))
+    far = prints.select(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("near"), F.bit_count(F.col("a").bitwiseXOR(F.col("c"))).alias("far")).toPandas()
+    assert far.near.max() <= decontamination.RADIUS and (far.far <= decontamination.RADIUS).mean() < 0.4
+
+
+def test_a_long_text_of_one_word(spark):
+    docs, items = [(1, "again " * 20_000), (2, "again " * 30)], [(1, "again " * 50), (2, "again again")]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.start) for r in got.collect()) == [(1, 1, 19_950), (1, 2, 19_998), (2, 2, 28)]
 
 
 def test_without_broadcasts(spark, monkeypatch):
@@ -69,9 +97,9 @@ def test_without_broadcasts(spark, monkeypatch):
 def test_odd_rows(spark):
     docs, marks = widened(documents(spark)), spark.createDataFrame([(1, text(1, 40)), (1, text(2, 30)), (2, "one"), (None, text(3, 25))], "item_id long, text string")
     got = decontamination.contaminated(docs, marks).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(6, 1), (7, 1), (8, 1), (None, 1), (None, None)}
+    assert {(r.doc_id, r.item_id) for r in got} == {(4, 2), (6, 1), (7, 1), (8, 1), (None, 1), (None, None)}
     clean = decontamination.clean(docs, marks)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.select("doc_id").collect()) == [1, 2, 3, 4, 5, 9, 10, 11, 12]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.select("doc_id").collect()) == [1, 2, 3, 5, 9, 10, 11, 12]
     assert decontamination.contaminated(empty(spark), marks).count() == 0
     assert decontamination.clean(docs, marks.limit(0)).count() == docs.count()
 
