@@ -23,9 +23,9 @@ def rand_perm(ids: DataFrame, seed: int) -> DataFrame:
 
 
 def rand_perm_bucketed(ids: DataFrame, seed: int, buckets: int = 64) -> DataFrame:
-    """The same by throwing each element into a random bucket and shuffling the buckets."""
+    """The same by throwing each element into a random bucket and shuffling the buckets; each is numbered in 256 runs."""
     thrown = ids.select("idx", (u32(keyed(F.col("idx"), seed, "b")) % buckets).alias("b"), F.md5(keyed(F.col("idx"), seed, "s")).alias("m"))
-    return numbered(thrown, "newpos", [F.col("m"), F.col("idx")], F.col("b")).select("idx", "newpos")
+    return numbered(thrown, "newpos", [F.col("m"), F.col("idx")], F.struct(F.col("b"), F.substring("m", 1, 2))).select("idx", "newpos")
 
 
 def er_naive(spark: SparkSession, n: int, p: float, seed: int, lower: bool = True, diagonal: bool = False) -> Matrix:

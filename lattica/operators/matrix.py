@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.numbering import numbered
+
 
 @dataclass
 class Matrix:
@@ -85,9 +87,9 @@ def is_perm(perm: DataFrame, n: int, column: str = "newpos") -> DataFrame:
     return counts.agg(ok.cast("long").alias("ok"))
 
 
-def row_explode(csr: DataFrame) -> DataFrame:
-    """(row, pos, col): the row iterator."""
-    return csr.select("row", F.posexplode("cols").alias("pos", "col"))
+def row_explode(matrix: Matrix) -> DataFrame:
+    """(row, pos, col): the row iterator. Positions are numbered in runs of columns, so a hub's row is never one array or one task's."""
+    return numbered(matrix.entries, "pos", [F.col("col")], F.floor(F.col("col") / (1 << 16)), by=["row"]).select("row", "pos", "col")
 
 
 def degree_one(matrix: Matrix) -> DataFrame:

@@ -117,6 +117,10 @@ SELECT i::BIGINT AS "row", col::BIGINT AS col FROM c WHERE col < i""",
 WITH m(x) AS (VALUES (3), (4), (5)), p AS (SELECT product(3 * x + 1) AS a, product(x + 1) AS b, count(*) AS k FROM m),
 t AS (SELECT 0 AS mode, 0::BIGINT AS t UNION ALL SELECT 1, round(a / 6 - b / 2 + 1.0 / 3)::BIGINT FROM p UNION ALL SELECT 2, round(4 ** k / 6 - 2 ** (k - 1) + 1.0 / 3)::BIGINT FROM p)
 SELECT mode, t AS triangles, t AS closed FROM t""",
+    "kron_spec": """
+WITH m(x) AS (VALUES (4), (9), (16), (25)), t AS (SELECT round(product(3 * x + 1) / 6 - product(x + 1) / 2 + 1.0 / 3)::BIGINT AS t FROM m)
+SELECT '1 4 9 16 25' AS spec, t AS triangles, t AS closed FROM t""",
+    "triangle_strategies": f"SELECT strategy, triangles FROM ({TRIANGLES}), (VALUES ('lower'), ('pull'), ('push'), ('upper'), ('wedges')) s(strategy)",
     "morally_triangular": f"""
 WITH {cells("x", "(SELECT count(*) FROM supplier)", 0.1, 7, False)}, a AS (SELECT * FROM x UNION ALL SELECT s_suppkey, s_suppkey FROM supplier),
 {perm("r", "supplier", "s_suppkey", 5)}, {perm("c", "supplier", "s_suppkey", 6)} SELECT r.newpos AS "row", c.newpos AS col FROM a JOIN r ON r.idx = a."row" JOIN c ON c.idx = a.col""",
@@ -133,6 +137,10 @@ WITH {cells("x", "(SELECT count(*) FROM supplier)", 0.1, 7, False)}, a AS (SELEC
     "components_incremental": COMPONENTS,
     "fifo_exchange": f"WITH {MESSAGES} SELECT src, dest, seq, l_orderkey, row_number() OVER (PARTITION BY src, dest ORDER BY seq) - 1 AS place FROM g",
     "exchange_stats": "WITH c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey % 8) SELECT sum(n)::BIGINT AS pushes, count(*) AS destinations, max(n) AS most, min(n) AS fewest FROM c",
+    "exchange_observed": "SELECT count(*) AS pushes, count(*) AS pulls, sum(strlen(l_orderkey::VARCHAR))::BIGINT AS bytes_sent, sum(strlen(l_orderkey::VARCHAR))::BIGINT AS bytes_received FROM lineitem",
+    "alltoall_rejects": f"""
+WITH r AS (SELECT l_partkey % 8 AS dest, list_position(list_transform(range(17), lambda i: {u32("concat(l_orderkey, ':', l_linenumber, ':', i, ':11')")} >= {round(0.2 * 2**32)} OR i = 16), true) - 1 AS back FROM lineitem)
+SELECT dest, count(*) AS items, (count(*) + sum(back))::BIGINT AS pulls, sum(back)::BIGINT AS unpulls FROM r GROUP BY 1""",
     "alltoall_counts": "SELECT l_suppkey % 8 AS src, l_partkey % 8 AS dest, count(*) AS items FROM lineitem GROUP BY 1, 2",
     "alltoall_elastic": "SELECT l_partkey % 8 AS dest, count(*) AS items, sum(strlen(l_orderkey::VARCHAR))::BIGINT AS bytes FROM lineitem GROUP BY 1",
     "steady_histogram": "SELECT event_type, count(*) AS cnt FROM events GROUP BY 1",

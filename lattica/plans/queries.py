@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.portable import MULTIPLIER, PRIME, pack, unpack
-from lattica.operators import arrays, exchange, generators, graph
+from lattica.operators import arrays, exchange, generators, graph, strategies
 from lattica.operators import matrix as mx
 from lattica.operators.components import components
 from lattica.operators.numbering import numbered, running_sum
 from lattica.plans import inputs
 from lattica.plans.inputs import PES
 from lattica.plans.oracle import ORACLE_SQL
-from lattica.session import scratch, table
+from lattica.session import cut, scratch, table
 from lattica.sources import dataset, matrix_market
 from lattica.streaming import steady
 
@@ -219,7 +219,7 @@ def tidy_rows(spark, d):
 
 @query
 def row_explode(spark, d):
-    return mx.row_explode(inputs.matrix(spark, d).csr()).select("row", F.col("pos").cast("long").alias("pos"), "col")
+    return mx.row_explode(inputs.matrix(spark, d))
 
 
 @query
@@ -383,6 +383,16 @@ def kron_triangles(spark, d):
     return found
 
 
+@query
+def kron_spec(spark, d):
+    """A spec's two halves as factors; the triangles counted and in closed form."""
+    spec = "1 4 9 16 25"
+    mode, first, second = generators.parse_spec(spec)
+    product = generators.kron(generators.kron_stars(spark, first, mode), generators.kron_stars(spark, second, mode), lower=True)
+    closed = generators.kron_triangles(mode, first + second)
+    return graph.triangle_count(product.entries).select(F.lit(spec).alias("spec"), "triangles", F.lit(closed).cast("long").alias("closed"))
+
+
 @query
 def morally_triangular(spark, d):
     ids = inputs.supplier_ids(spark, d)
@@ -418,6 +428,12 @@ def triangle_count_pull(spark, d):
     return graph.triangles_pull(inputs.graph(spark, d))
 
 
+@query
+def triangle_strategies(spark, d):
+    """All registered strategies on the same graph."""
+    return strategies.compare("triangles", cut(inputs.graph(spark, d))).select("strategy", "triangles")
+
+
 @query
 def toposort_levels(spark, d):
     """Levels of the DAG with rows and columns permuted, by original row."""
@@ -475,6 +491,23 @@ def exchange_stats(spark, d):
     return exchange.statistics(inputs.messages(spark, d))
 
 
+@query
+def exchange_observed(spark, d):
+    """Counters that the exchange itself fills, from one pass."""
+    sent = table(spark, d, "lineitem").select((F.col("l_partkey") % PES).alias("dest"), F.col("l_orderkey").cast("string").alias("payload"))
+    delivered, before, after = exchange.observed(sent, "payload")
+    delivered.write.format("noop").mode("overwrite").save()
+    row = (before.get["pushes"], after.get["pulls"], before.get["bytes"], after.get["bytes"])
+    return spark.createDataFrame([row], "pushes long, pulls long, bytes_sent long, bytes_received long")
+
+
+@query
+def alltoall_rejects(spark, d):
+    """Receivers put back a fifth of what they pull, and pull it again."""
+    lines = table(spark, d, "lineitem").select((F.col("l_partkey") % PES).alias("dest"), "l_orderkey", "l_linenumber")
+    return exchange.pulls(lines, [F.col("l_orderkey"), F.col("l_linenumber")], 0.2, 11)
+
+
 @query
 def alltoall_counts(spark, d):
     lines = table(spark, d, "lineitem").select((F.col("l_suppkey") % PES).alias("src"), (F.col("l_partkey") % PES).alias("dest"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import arrays, exchange, generators, graph
+from lattica.operators import arrays, exchange, generators, graph, strategies
 from lattica.operators import matrix as mx
 from lattica.operators.components import components
 from lattica.operators.numbering import numbered, running_sum
@@ -146,6 +146,51 @@ def test_toposort_by_levels_and_in_memory(spark, local):
     assert found(graph.toposort_levels(m, local)) == found(graph.toposort_levels(m))
 
 
+def test_strategies(spark):
+    edges = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "row long, col long")
+    strategies.register("triangles", "mine", lambda e: e.agg((F.count("*") / 3).cast("long").alias("triangles")))
+    try:
+        got = {r.strategy: r.triangles for r in strategies.compare("triangles", edges).collect()}
+        assert got == dict.fromkeys(["lower", "mine", "pull", "push", "upper", "wedges"], 1)
+        with pytest.raises(ValueError, match="already"):
+            strategies.register("triangles", "mine", graph.triangle_count)
+    finally:
+        strategies.unregister("triangles", "mine")
+    with pytest.raises(ValueError, match="no strategy"):
+        strategies.run("triangles", "mine", edges)
+    with pytest.raises(ValueError, match="no kernel"):
+        strategies.run("squares", "mine", edges)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from lattica import session
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}  # noqa: RUF012
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        session.shared_folder(Session())
+    assert session.shared_folder(spark)
+
+
+def test_dropped_tables_are_gone(spark):
+    from lattica.session import cut, drop, written
+
+    since = written()
+    a, b = cut(spark.range(5)), cut(spark.range(7))
+    drop(spark, since, keep=1)
+    assert b.count() == 7 and written() == since + 1
+    with pytest.raises(Exception, match="(?i)not.?exist"):
+        a.count()
+    drop(spark, since)
+
+
 def test_triangles_of_ids_that_do_not_fit_32_bits(spark):
     edges = [(1, 0), (2, 0), (2, 1), (3, 1), (3, 2), (4, 0)]
     for shift in (0, 1 << 40, -(1 << 33)):
