@@ -1,109 +1,144 @@
 """Document fingerprints by a randomised edit embedding.
 
-The embedding of a string is the trace of a random walk over it: at step j the walk writes down the character under its
-pointer and moves on by ``r_j(character)``, 0 or 1, with random bits ``r`` shared by all documents. Walks over two strings that
-differ by few edits fall into step again after each edit, so edit distance becomes Hamming distance between the traces.
-
-One walk over a whole text is sequential and every edit costs some steps. So a text is cut into blocks where the hash of a
-few characters says so (and after ``LONGEST`` characters at the latest), which any two documents do alike around the same
-characters, and each block is embedded by its own walk, all blocks of a batch together in numpy. A fingerprint has ``SLOTS``
-bytes. A slot picks a block of the text by the smallest hash of the blocks' first characters, and samples one step of that
-block's trace. So two fingerprints agree in a slot if they pick the same block and its traces agree at the sampled step.
-``likeness`` is the share of text in common that this agreement a stands for, 2a / (1 + a), less what chance gives.
-
-``near_pairs`` finds similar documents: slots are banded, documents that share a band are compared with the band's first, then
-those of a band that are still in different components with each other, and whole fingerprints verify them.
+The embedding of a string is the trace of a random walk over it: at step j the walk reads the character under its pointer and
+moves on by ``r_j(character)``, 0 or 1, with random bits ``r`` shared by all documents; 2 n steps lead over n characters. Walks
+over two strings that differ by few edits fall into step again after each edit, so edit distance becomes Hamming distance
+between the traces. A walk goes over the whole text, so order counts; only texts longer than ``SHORTEST`` characters are cut into
+segments, each walked from its start, where the hash of a few characters says so (and after ``LONGEST`` at the latest), which any
+two documents do alike around the same characters.
+
+A fingerprint has ``PLACES`` times ``WALKS`` bytes. A place is a step of the trace: of all units of ``UNIT`` steps of all segments
+the one of smallest hash, and in it the step of smallest hash, so that it seldom depends on a text's length. Each of ``WALKS``
+independent walks writes there a byte of the four characters under its pointer. An edit throws the walks off at different
+lengths, so two texts agree in a place if one of the walks agrees; ``likeness`` is the share of text in common that the share a of
+such places stands for, 2a / (1 + a), less what chance gives.
+
+``near_groups`` finds similar documents: bands of bits, sampled from one walk each, are posting lists; members of a list that lie in
+different components are compared by their whole fingerprints in blocks (``blocks``), and links that join components are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm import bytewords
+from lattica.llm import blocks, bytewords
 from lattica.llm.bytewords import mix, seeds
 from lattica.operators.components import components
-from lattica.session import cut
-
-SLOTS = 128
-WINDOW = 8
-#: A block begins at one of so many places.
-EVERY = 32
-LONGEST = 128
-_LAST = -(1 << 63)
-#: Members of one band that are compared in one block.
+from lattica.session import cut, drop, written
+
+PLACES, WALKS = 64, 4
+SLOTS = PLACES * WALKS
+UNIT = 512
+#: A text is cut at characters that one in ``EVERY`` runs of ``WINDOW`` names, into segments of so many characters.
+WINDOW, EVERY, SHORTEST, LONGEST = 8, 512, 3072, 5120
+#: A band has so many places of one walk; there are PLACES / BAND bands.
+BAND = 4
+#: Fingerprints of one band that are compared in one block.
 BLOCK = 2048
+#: Documents in groups are broadcast up to this many (40 bytes each); beyond, Spark shuffles.
+BROADCAST = 1_000_000
+#: Bytes of text that a part of the order of documents holds, and the most parts.
+PART, MOST_PARTS = 4 << 20, 1 << 14
+_LAST = -(1 << 63)
+#: Agreement of unrelated places: one of the walks' bytes is equal by chance.
+_CHANCE = 1 - (255 / 256) ** WALKS
 
 
 @lru_cache(maxsize=1)
 def _steps() -> np.ndarray:
-    """steps[t, n]: the step that slot t samples of a trace of n steps, the one of smallest hash, so that it seldom depends on n."""
-    h = mix(seeds(SLOTS, 71)[:, None] * np.arange(1, 2 * LONGEST + 1, dtype=np.uint64)[None, :])
+    """steps[p, n]: the step that place p samples of a unit of n steps, the one of smallest hash."""
+    h = mix(seeds(PLACES, 71)[:, None] * np.arange(1, UNIT + 1, dtype=np.uint64)[None, :])
     low = np.minimum.accumulate(h, axis=1)
-    at = np.maximum.accumulate(np.where(h == low, np.arange(2 * LONGEST), 0), axis=1)
-    return np.concatenate([np.zeros((SLOTS, 1), np.int64), at], axis=1)
-
-
-def _blocks(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, anchors) of all blocks; every document that isn't empty starts one."""
-    n = len(points)
-    up, down = bytewords._powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(mix(points.astype(np.uint64)) * up[:n], out=sums[1:])
-    h = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: max(0, n + 1 - WINDOW)]) if n >= WINDOW else np.zeros(0, np.uint64)
-    whole = np.ones(len(h), bool)  # windows that end in their document
-    for end in offsets[1:-1]:
-        whole[max(0, end - WINDOW + 1) : end] = False
-    heads = offsets[:-1][np.diff(offsets) > 0]
-    cuts = np.union1d(np.flatnonzero(whole & (h % np.uint64(EVERY) == 0)), heads)
-    gaps = np.diff(np.append(cuts, n))
-    more = (gaps - 1) // LONGEST
-    first = np.repeat(cuts, more + 1)
-    nth = np.arange(len(first)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
-    starts = first + nth * LONGEST
-    anchors = np.full(len(starts), 1, np.uint64) + nth.astype(np.uint64)
-    inner = (starts < len(h)) & ~np.isin(starts, heads)
-    inner[inner] &= whole[starts[inner]]
-    anchors[inner] = h[starts[inner]]
-    return starts, anchors
-
-
-def _embed(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A row for each block: its trace of 2 * length steps, a byte a character; 0 beyond the walk's end."""
-    length = ends - starts
-    trace = np.zeros((len(starts), 2 * int(length.max(initial=0))), np.uint8)
-    order = np.argsort(-length, kind="stable")
-    live, at, end, steps = order, starts[order], ends[order], 2 * length[order]
-    codes = (mix(points.astype(np.uint64) + np.uint64(977)) >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
-    for j in range(trace.shape[1]):
+    at = np.maximum.accumulate(np.where(h == low, np.arange(UNIT), 0), axis=1)
+    return np.concatenate([np.zeros((PLACES, 1), np.int64), at], axis=1)
+
+
+@lru_cache(maxsize=1)
+def _moves() -> np.ndarray:
+    """moves[j // 64, walk, kind of character]: 64 steps' bits."""
+    n = 2 * LONGEST // 64
+    return mix(np.arange(n * WALKS * 256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(977)).reshape(n, WALKS * 256)
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    """One of 256 kinds of each character."""
+    return (points * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
+def _segments(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, anchors) of all segments; every document that isn't empty starts one."""
+    starts, anchors = [], []
+    long = np.flatnonzero(np.diff(offsets) > SHORTEST)
+    for d in np.flatnonzero(np.diff(offsets) > 0):
+        starts.append(offsets[d])
+        anchors.append(1)
+        if len(long) and d == long[0]:
+            long = long[1:]
+            lo, n = int(offsets[d]), int(offsets[d + 1] - offsets[d])
+            h = np.zeros(n - WINDOW + 1, np.uint64)
+            for k, c in enumerate(seeds(WINDOW, 83)):
+                h += points[lo + k : lo + k + len(h)].astype(np.uint64) * c
+            h = mix(h)
+            named, at, nth = np.flatnonzero(h % np.uint64(EVERY) == 0), 0, 1
+            while n - at > SHORTEST:
+                i = np.searchsorted(named, at + SHORTEST)
+                at = int(min(named[i] if i < len(named) else n, at + LONGEST))
+                if at >= n:
+                    break
+                starts.append(lo + at)
+                anchors.append(int(h[at]) if at < len(h) else nth)
+                nth += 1
+    return np.array(starts, np.int64), np.array(anchors, np.uint64)
+
+
+def _pointers(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """pointers[i, walk]: where each walk over segment ``lane[i]`` stands before ``step[i]``; all segments walk together."""
+    out = np.empty((len(lane), WALKS), np.int64)
+    if not len(lane):
+        return out
+    used, lane = np.unique(lane, return_inverse=True)
+    steps = np.zeros(len(used), np.int64)
+    np.maximum.at(steps, lane, step + 1)
+    order = np.argsort(-steps, kind="stable")
+    rank = np.empty(len(used), np.int64)
+    rank[order] = np.arange(len(used))
+    lane, live = rank[lane], np.searchsorted(-steps[order], -np.arange(steps.max()), "left")
+    code = np.concatenate([_kinds(points), np.zeros(2 * LONGEST + 1, np.uint8)])
+    at = np.repeat(starts[used][order][:, None], WALKS, 1)
+    kind, moved, byte = np.empty_like(at), np.empty_like(at), np.empty(at.shape, np.uint8)
+    by_step = np.argsort(step, kind="stable")
+    ends_at = np.searchsorted(step[by_step], np.arange(len(live) + 1))
+    first = np.arange(WALKS) * 256
+    for j in range(len(live)):
+        wanted = by_step[ends_at[j] : ends_at[j + 1]]
+        if len(wanted):
+            out[wanted] = at[lane[wanted]]
         if j % 64 == 0:
-            bits = mix(points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j + 1))
-        if j % 8 == 0 and j:
-            on = (at < end) & (j < steps)
-            live, at, end, steps = live[on], at[on], end[on], steps[on]
-            if not len(live):
-                break
-        under = np.minimum(at, end - 1)
-        past = at >= end
-        trace[live, j] = np.where(past, 0, codes[under])
-        at = at + np.where(past, 0, (bits[under] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
-    return trace
+            words = _moves()[j // 64]
+        bits = ((words >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        n = live[j]
+        code.take(at[:n], out=byte[:n], mode="clip")
+        np.add(byte[:n], first, out=kind[:n])
+        bits.take(kind[:n], out=moved[:n], mode="clip")
+        at[:n] += moved[:n]
+    return np.minimum(out, (ends[used][order] - 1)[lane][:, None])
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
-    """A row of SLOTS bytes for each text; zeros for an empty one."""
+    """A row of SLOTS bytes for each text, a place's walks together; zeros for an empty one."""
     out = np.zeros((len(texts), SLOTS), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
-    i = 0
+    total, i = np.cumsum(size), 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(np.cumsum(size[i:]), 1 << 19, "right")) + i)
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 21), "right")))
         points = np.frombuffer("".join(texts[i:j]).encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points):
             out[i:j] = _fingerprints(points, np.concatenate([[0], np.cumsum(size[i:j])]))
@@ -113,27 +148,36 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 def _fingerprints(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(offsets) - 1, SLOTS), np.uint8)
-    starts, anchors = _blocks(points, offsets)
+    full = np.flatnonzero(np.diff(offsets))
+    starts, anchors = _segments(points, offsets)
     ends = np.append(starts[1:], len(points))
-    bits = np.uint64(max(1, int(len(starts)).bit_length()))
-    number, full = np.arange(len(starts), dtype=np.uint64), np.flatnonzero(np.diff(offsets))
-    heads = np.searchsorted(starts, offsets[full])
-    picked = np.empty((len(full), SLOTS), np.int64)
-    for t, c in enumerate(seeds(SLOTS, 61)):
-        low = np.minimum.reduceat(((anchors * c) >> bits << bits) | number, heads)
-        picked[:, t] = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    used, back = np.unique(picked, return_inverse=True)
-    back = back.reshape(picked.shape)
-    trace = _embed(points, starts[used], ends[used])
-    steps = _steps()[np.arange(SLOTS)[None, :], 2 * (ends - starts)[picked]]
-    sampled = trace[back, steps]
-    out[full] = (mix(anchors[picked] + sampled.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+    units = -(-2 * (ends - starts) // UNIT)
+    before = np.concatenate([[0], np.cumsum(units)])
+    segment = np.repeat(np.arange(len(starts)), units)
+    nth = np.arange(before[-1]) - before[segment]
+    key = mix(anchors[segment] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    width = np.minimum(UNIT, 2 * (ends - starts)[segment] - nth * UNIT)
+    bits = np.uint64(max(1, int(len(key)).bit_length()))
+    number, heads = np.arange(len(key), dtype=np.uint64), before[np.searchsorted(starts, offsets[full])]
+    lane, step = np.empty((2, len(full), PLACES), np.int64)
+    for p, c in enumerate(seeds(PLACES, 61)):
+        low = np.minimum.reduceat((mix(key * c) >> bits << bits) | number, heads)
+        unit = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        lane[:, p], step[:, p] = segment[unit], nth[unit] * UNIT + _steps()[p, width[unit]]
+    at = _pointers(points, starts, ends, lane.ravel(), step.ravel())
+    last = np.repeat(offsets[full + 1] - 1, PLACES)[:, None]
+    seen = np.zeros(at.shape, np.uint64)
+    for k, c in enumerate(seeds(4, 67)):
+        on = at + k <= last
+        seen += np.where(on, points[np.minimum(at + k, last)].astype(np.uint64) + np.uint64(1), np.uint64(0)) * c
+    out[full] = (mix(seen) >> np.uint64(56)).astype(np.uint8).reshape(len(full), SLOTS)
     return out
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """0 to 1 for each row of x and y; 1 for equal fingerprints."""
-    a = np.maximum(0, ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
+    places = (x == y).reshape(*np.broadcast_shapes(x.shape, y.shape)[:-1], PLACES, WALKS).any(-1).mean(-1)
+    a = np.maximum(0, (places - _CHANCE) / (1 - _CHANCE))
     return 2 * a / (1 + a)
 
 
@@ -143,44 +187,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _dealt(bounds: np.ndarray, heads: dict[int, list[int]] | None):
-    """Rows with their part; descending keys are ascending parts. heads: key -> parts that end with the row of that key."""
+def _dealt(bounds: list[tuple[int, int]], heads: dict[tuple[int, int], list[int]] | None):
+    """Rows with their part, in order of falling key, then mark. Rows of a pair that is a bound several times take turns in the
+    parts it begins, as they are all alike. heads: (key, mark) -> parts that a row of that pair follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            part = (len(bounds) - np.searchsorted(bounds, key, "right")).astype(np.int32)
+            if not batch.num_rows:
+                continue
+            rows = list(zip((~batch.column("key").to_numpy()).tolist(), batch.column("mark").to_pylist(), strict=True))
+            part = np.empty(len(rows), np.int32)
+            for i, r in enumerate(rows):
+                lo, hi = bisect.bisect_left(bounds, r), bisect.bisect_right(bounds, r)
+                part[i] = hi if hi - lo < 2 else lo + 1 + turn % (hi - lo)
+                turn += hi - lo >= 2
             if heads is None:
-                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("key")], ["part", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("key"), batch.column("mark")], ["part", "key", "mark"])
                 continue
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *batch.columns], ["part", "halo", *batch.schema.names])
-            for i in np.flatnonzero(np.isin(key, list(heads))):
-                for p in heads[int(key[i])]:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([1], pa.int32()), *batch.slice(i, 1).columns], ["part", "halo", *batch.schema.names])
+            names = ["part", "halo", *batch.schema.names]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), np.int32)), *batch.columns], names)
+            seen = set()
+            for i, r in enumerate(rows):
+                if r in heads and r not in seen:
+                    seen.add(r)
+                    for p in heads[r]:
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([1], pa.int32()), *batch.slice(i, 1).columns], names)
 
     return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of part, halo, key (descending), mark -> the result. The row before waits for the one after it."""
-    held = None  # part, halo, doc_id, text, fingerprint
+    held = None  # part, halo, doc_id, mark, text, fingerprint
 
     def done(rows):
-        changed = [edited(r[3], n[3]) for r, n in rows]
-        own, after, new = np.stack([r[4] for r, _ in rows]), np.stack([n[4] for _, n in rows]), fingerprints(changed)
+        changed = [edited(r[4], n[4]) for r, n in rows]
+        own, after, new = np.stack([r[5] for r, _ in rows]), np.stack([n[5] for _, n in rows]), fingerprints(changed)
         return pa.RecordBatch.from_arrays([
-            pa.array([r[2] for r, _ in rows], pa.int64()), pa.array([len(r[3]) for r, _ in rows], pa.int64()),
+            pa.array([r[2] for r, _ in rows], pa.int64()), pa.array([r[3] for r, _ in rows], pa.int64()), pa.array([len(r[4]) for r, _ in rows], pa.int64()),
             pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed]),
             pa.array([x.tobytes().hex() for x in own]), pa.array([x.tobytes().hex() for x in new]),
             pa.array(likeness(own, new)), pa.array(likeness(own, after)),
-        ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+        ], ["doc_id", "mark", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     for whole in batches:
-        for batch in bytewords.pieces(whole, "text", 2 << 20):
+        for batch in bytewords.pieces(whole, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             prints = fingerprints(texts)
             ready = []
-            for row in zip(batch.column("part").to_pylist(), batch.column("halo").to_pylist(), batch.column("doc_id").to_pylist(), texts, prints, strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("part", "halo", "doc_id", "mark")), texts, prints, strict=True):
                 if held is not None and held[0] == row[0] and not held[1]:
                     ready.append((held, row))
                 held = row
@@ -188,83 +244,129 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield done(ready)
 
 
-def compare_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Fingerprints of every text, of its edited text, and their likeness: a row for each row of ``docs`` (doc_id, text).
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, mark, text): key is the doc_id, or one below all for null; mark a hash of the text."""
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(id_, F.lit(_LAST)).alias("key"), id_.alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def compare_next(docs: DataFrame, parts: int | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likeness: a row for each row of ``docs`` (doc_id, text). With
+    ``groups`` (of ``near_groups``) also near_class: the smallest doc_id of the document's group, or its own.
 
     The next document is the next in descending doc_id, after the last the first; a null doc_id comes last, rows that repeat one
     follow each other in an order of their texts' hash. A single document is its own next. Null texts are empty; empty ones
-    have a fingerprint of zeros. doc_id ranges of about equal rows go to one part each; one row of the following part goes
-    along, so no order over all rows is ever in one task.
+    have a fingerprint of zeros. Ranges of that order, of about equal rows and about ``PART`` bytes (``MOST_PARTS`` at most), go to
+    one part each, found from a sample of the keys; equal rows can be split between parts. The first row of the next part goes along.
     """
-    spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    id_ = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(id_, F.lit(_LAST)).alias("key"), id_.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    quantiles = rows.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.25 / parts)
-    bounds = np.unique(np.array(quantiles)).astype(np.int64)
-    top = {r[0]: r[1] for r in rows.select("key").mapInArrow(_dealt(bounds, None), "part int, key long").groupBy("part").agg(F.max("key")).collect()}
-    order = sorted(top)  # at most ``parts``
-    heads: dict[int, list[int]] = {}
+    rows = _keyed(docs)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = parts or max(1, min(MOST_PARTS, -(-size // PART)))
+    share = min(1.0, 40 * parts / max(n, 1))
+    some = sorted((~r.key, r.mark) for r in rows.filter(F.pmod(F.xxhash64("mark", "key", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("key", "mark").limit(80 * parts).collect())
+    bounds = [some[i * len(some) // parts] for i in range(1, parts)] if some else []
+    first = {r.part: (~r.k, r.m) for r in rows.select("key", "mark").mapInArrow(_dealt(bounds, None), "part int, key long, mark long").groupBy("part").agg(F.max("key").alias("k"), F.min_by("mark", F.struct(F.bitwise_not("key").alias("k"), "mark")).alias("m")).collect()}
+    order = sorted(first)  # at most ``parts``
+    heads: dict[tuple[int, int], list[int]] = {}
     for i, p in enumerate(order):
-        heads.setdefault(top[order[(i + 1) % len(order)]], []).append(p)
-    dealt = rows.withColumn("mark", F.xxhash64("text")).mapInArrow(_dealt(bounds, heads), "part int, halo int, key long, doc_id long, text string, mark long")
+        heads.setdefault(first[order[(i + 1) % len(order)]], []).append(p)
+    dealt = rows.mapInArrow(_dealt(bounds, heads), "part int, halo int, key long, doc_id long, mark long, text string")
     dealt = dealt.repartition(max(1, parts // 4), "part").sortWithinPartitions("part", "halo", F.desc("key"), "mark", "text")
-    result = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("part", "halo", "doc_id", "text").mapInArrow(_compare, result)
+    result = "doc_id long, mark long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    found = dealt.select("part", "halo", "doc_id", "mark", "text").mapInArrow(_compare, result)
+    if groups is None:
+        return found.drop("mark")
+    groups = groups.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "near_class")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    found = found.join(F.broadcast(groups) if groups.count() <= BROADCAST else groups, same, "left")
+    return found.withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("mark", "d", "m")
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in bytewords.pieces(whole, "text"):
+            found = [x.tobytes() for x in fingerprints([t or "" for t in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(found, pa.binary())], ["doc_id", "mark", "print"])
 
 
 def _joining(least: float):
-    """Rows (band, x, y, side, doc_id, component, fingerprint) in order of band, x, y: of each block, verified pairs that join all
-    components with a pair that alike, one pair less than it has components at most."""
+    """Rows (list, x, y, role, node, component, print) in order of list, x, y -> (u, v, near): of each block, verified links that
+    join two components. A block is held at a time."""
 
-    def pairs(block: list[tuple]) -> Iterator[tuple[int, int, float]]:
-        side, node = np.array([r[3] for r in block]), [r[4] for r in block]
+    def links(block: list[tuple]) -> Iterator[tuple[int, int, float]]:
+        role, node = np.array([r[3] for r in block]), np.array([r[4] for r in block])
         label = np.unique([r[5] for r in block], return_inverse=True)[1]
-        prints = np.frombuffer(bytes.fromhex("".join(r[6] for r in block)), np.uint8).reshape(-1, SLOTS)
-        alone = block[0][1] == block[0][2]  # a block with itself
-        for i in range(len(block)) if alone else np.flatnonzero(side == 0):
-            others = np.flatnonzero((label != label[i]) & (np.arange(len(block)) > i if alone else side == 1))
+        prints = np.frombuffer(b"".join(r[6] for r in block), np.uint8).reshape(-1, SLOTS)
+        right = np.flatnonzero(role & blocks.RIGHT)
+        minor = (role[right] & blocks.MINOR) > 0
+        for i in np.flatnonzero(role & blocks.LEFT):
+            others = right[(label[right] != label[i]) & (~minor | (node[i] < node[right]))]
             near = likeness(prints[i][None, :], prints[others])
-            for k in np.flatnonzero(near >= least):
+            for k in np.argsort(-near, kind="stable"):
                 j = others[k]
+                if near[k] < least:
+                    break
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
                     yield min(node[i], node[j]), max(node[i], node[j]), float(near[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for _, block in groupby(rows, key=lambda r: r[:3]):
-            found = list(pairs(list(block)))
+        held: list[tuple] = []
+
+        def out(block):
+            found = list(links(block))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], ["u", "v", "near"])
 
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("list", "x", "y", "role", "node", "component", "print")), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield from out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from out(held)
+
     return run
 
 
-def near_pairs(prints: DataFrame, least: float = 0.8, slots: int = 4) -> DataFrame:
-    """(u, v, near) of ``prints`` (doc_id, fingerprint): documents that share a band of ``slots`` slots and are that alike by
-    their whole fingerprints. Members of a band are compared with its smallest doc_id, then, in blocks, those still in different
-    components with each other: the pairs connect all that such pairs connect. A group of copies gives some rows a member, not
-    all its pairs."""
-    bands = F.explode(F.expr(f"transform(sequence(0, {SLOTS // slots - 1}), i -> concat(i, ':', substring(fingerprint, i * {2 * slots} + 1, {2 * slots})))")).alias("band")
-    prints = cut(prints.filter("doc_id is not null").select("doc_id", "fingerprint"))
-    posted = prints.select("doc_id", bands)
-    heads = posted.groupBy("band").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).filter("n > 1").select("band", "u")
-    pairs = posted.join(heads, "band").filter("doc_id > u").select("u", F.col("doc_id").alias("v")).distinct()
-    x, y = prints.select(F.col("doc_id").alias("u"), F.col("fingerprint").alias("x")), prints.select(F.col("doc_id").alias("v"), F.col("fingerprint").alias("y"))
-    same = F.expr(f"size(filter(sequence(0, {SLOTS - 1}), i -> substring(x, 2 * i + 1, 2) = substring(y, 2 * i + 1, 2)))")
-    share = F.greatest(F.lit(0.0), (same / SLOTS - 1 / 256) / (1 - 1 / 256))
-    links = cut(pairs.join(x, "u").join(y, "v").select("u", "v", (2 * share / (1 + share)).alias("near")).filter(F.col("near") >= least))
-
-    at = posted.join(components(links).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_bands = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    sides = (
-        at.join(open_bands, "band").join(prints, "doc_id")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("x", F.least("block", "with")).withColumn("y", F.greatest("block", "with"))
-        .select("band", "x", "y", (F.col("block") == F.col("y")).cast("int").alias("side"), "doc_id", "component", "fingerprint")
-    )
-    sides = sides.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
-    more = sides.mapInArrow(_joining(least), "u long, v long, near double")
-    return links.union(more.dropDuplicates(["u", "v"]))
+def near_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
+    """(u, v, near) of ``prints`` (node, print): links that connect all that pairs connect which share a band and are that alike by
+    their whole fingerprints. The first round compares, block by block, the members of the first band of each walk, the second
+    those of all bands that are still in different components. A group of copies gives some rows a member, not all its pairs."""
+    order = [p * WALKS + i % WALKS for i in range(PLACES // BAND) for p in range(i * BAND, (i + 1) * BAND)]  # of each band, the bytes
+    band = lambda i: F.xxhash64(F.lit(i), *[F.substring("print", order[i * BAND + k] + 1, 1) for k in range(BAND)])
+    links = prints.sparkSession.createDataFrame([], "u long, v long, near double")
+    for bands in (range(WALKS), range(PLACES // BAND)):
+        across = len(bands) > WALKS
+        posted = prints.select("node", F.explode(F.array(*map(band, bands))).alias("list"))
+        found = components(links)
+        if across:  # only bands of members that could still be joined
+            at = posted.join(found, "node", "left").select("node", "list", F.coalesce("component", "node").alias("component"), F.lit(1).alias("weight"))
+        else:
+            at = posted.select("node", "list", F.col("node").alias("component"), F.lit(1).alias("weight"))
+        lists = blocks.open_lists(at, BLOCK, across)
+        sides = (
+            at.join(lists, "list").select("node", "component", F.struct("list", blocks.places(across).alias("places")).alias("p"))
+            .groupBy("node", "component").agg(F.collect_list("p").alias("lists")).join(prints.select("node", "print"), "node")
+            .withColumn("p", F.explode("lists")).withColumn("q", F.explode("p.places"))
+            .select("p.list", "q.x", "q.y", "q.role", "node", "component", "print")
+        )
+        sides = sides.repartition("list", "x", "y").sortWithinPartitions("list", "x", "y")
+        links = cut(links.union(sides.mapInArrow(_joining(least), "u long, v long, near double")))
+    return links
+
+
+def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, mark, near_class) of the rows of ``docs`` (doc_id, text) that are like another one: near_class is the smallest doc_id
+    of the group (null, if none of it has a doc_id); mark is a hash of the text. Rows equal in doc_id and text are one."""
+    spark, since = docs.sparkSession, written()
+    made = _keyed(docs).select("doc_id", "mark", "text").mapInArrow(_prints, "doc_id long, mark long, print binary")
+    prints = cut(made.filter(F.length("print") > 0).withColumn("node", F.monotonically_increasing_id()))
+    found = components(near_links(prints.filter(F.col("print") != F.lit(bytes(SLOTS))), least))
+    named = prints.select("node", "doc_id", "mark").join(found, "node")
+    least_id = named.groupBy("component").agg(F.min("doc_id").alias("near_class"))
+    result = named.join(least_id, "component").select("doc_id", "mark", "near_class").distinct()
+    kept = cut(result)
+    drop(spark, since, keep=1)
+    return kept

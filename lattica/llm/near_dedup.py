@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm import bytewords
+from lattica.llm import blocks, bytewords
+from lattica.llm.blocks import LEFT, MINOR, RIGHT
 from lattica.operators.components import components, roots
 from lattica.session import cut
 
@@ -46,8 +47,6 @@ HEAVY = 512
 #: Texts to verify are found by a broadcast of their keys up to this many (24 bytes each), by a shuffle beyond.
 BROADCAST_IDS = 2_000_000
 _NO_ID = -(1 << 63)
-#: Bits of a row's role in its block: to be compared with the right rows, a right row, outside of the list's largest component.
-LEFT, RIGHT, MINOR = 1, 2, 4
 
 
 def _signatures(shingle: int, coordinates: int):
@@ -256,18 +255,9 @@ def link(docs: DataFrame, shingle: int = 5, percent: int = 75, matches: int = MA
         found = components(links)
         members = (posted.filter("wide").withColumn("mask", F.col("wide_mask")) if wide else posted).select("node", "weight", "mask", "list")
         at = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sums = at.groupBy("list", "component").agg(F.sum("weight").alias("w")).groupBy("list").agg(F.count("*").alias("parts"), F.sum("w").alias("w"), F.max(F.struct("w", "component")).alias("top"))
-        blocks = lambda w: F.ceil(w / BLOCK).cast("int")
-        open_lists = sums.filter("parts > 1").select("list", F.col("top.component").alias("major"), blocks(F.col("w")).alias("ys"), (F.lit(1) if wide else blocks(F.col("w") - F.col("top.w"))).alias("xs"))
-        minor = F.col("component") != F.col("major")
-        ownx, owny = F.pmod(F.xxhash64("node", F.lit(1)), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node"), F.col("ys")).cast("int")
-        role = lambda left: F.when(minor & left, F.lit(LEFT | RIGHT | MINOR)).when(minor, F.lit(RIGHT | MINOR)).otherwise(F.lit(RIGHT))
-        places = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), owny.alias("y"), role(x == ownx).alias("role")))
-        if not wide:  # members outside of the largest component go to all blocks of their list
-            others = F.filter(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: y != owny)
-            places = F.concat(places, F.when(minor, F.transform(others, lambda y: F.struct(ownx.alias("x"), y.alias("y"), F.lit(LEFT | MINOR).alias("role")))).otherwise(F.slice(places, 1, 0)))
+        open_lists = blocks.open_lists(at, BLOCK, across=not wide)
         sides = (
-            at.join(open_lists, "list").select("node", "component", "mask", F.struct("list", places.alias("places")).alias("p"))
+            at.join(open_lists, "list").select("node", "component", "mask", F.struct("list", blocks.places(across=not wide).alias("places")).alias("p"))
             .groupBy("node", "component", "mask").agg(F.collect_list("p").alias("lists"))
             .join(signed.drop("n"), "node")  # a row a node; its lists come apart after it
             .withColumn("p", F.explode("lists")).withColumn("q", F.explode("p.places"))

@@ -45,7 +45,8 @@ def op6_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_next(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.compare_next(docs, groups=fingerprints.near_groups(docs))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +103,14 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
     "op8_decontamination": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
-ds AS (SELECT doc_id, len(w) AS len, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s, unnest(range(len(w) - 4)) AS pos FROM dw WHERE len(w) >= 5),
-its AS (SELECT item_id, len(w) AS n, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM iw WHERE len(w) >= 5),
-ic AS (SELECT item_id, n, s, count(*) AS c FROM its GROUP BY ALL),
-seed AS (SELECT ds.doc_id, ic.item_id, ic.n, ds.len, ds.pos FROM ds JOIN ic USING (s)),
-win AS (SELECT DISTINCT doc_id, item_id, n, least(n, len) - 4 AS total, least(pos, len - least(n, len)) AS start FROM seed),
-bag AS (SELECT w.doc_id, w.item_id, w.n, w.total, w.start, ds.s, count(*) AS c FROM win w JOIN ds ON ds.doc_id = w.doc_id AND ds.pos >= w.start AND ds.pos < w.start + w.total GROUP BY ALL),
-both_ AS (SELECT b.doc_id, b.item_id, b.n, b.total, b.start, sum(least(b.c, ic.c))::BIGINT AS k FROM bag b JOIN ic ON ic.item_id = b.item_id AND ic.s = b.s GROUP BY ALL),
-sim AS (SELECT *, k::DOUBLE / (n - 4 + total - k) AS similarity FROM both_ WHERE 100 * k >= 75 * (n - 4 + total - k)),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sim)
+its AS (SELECT item_id, len(w) AS n, least(len(w), 5) AS k, unnest(list_transform(range(greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS s FROM iw WHERE len(w) > 0),
+ic AS (SELECT item_id, n, k, s, count(*) AS c FROM its GROUP BY ALL),
+ds AS (SELECT doc_id, k, len(w) AS len, unnest(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1 : i + k], ' '))) AS s, unnest(range(len(w) - k + 1)) AS pos FROM dw, (SELECT DISTINCT k FROM its) WHERE len(w) >= k),
+seed AS (SELECT ds.doc_id, ic.item_id, ic.n, ic.k, ic.s, ic.c, ds.pos, least(ic.n, ds.len) - ic.k + 1 AS total, ds.len - least(ic.n, ds.len) AS last FROM ds JOIN ic ON ds.s = ic.s AND ds.k = ic.k),
+win AS (SELECT DISTINCT doc_id, item_id, total, unnest(range(greatest(0, pos - total + 1), least(pos, last) + 1)) AS start FROM seed),
+bag AS (SELECT w.doc_id, w.item_id, w.start, seed.n - seed.k + 1 + w.total AS sum, seed.s, least(count(*), max(seed.c)) AS c FROM win w JOIN seed ON seed.doc_id = w.doc_id AND seed.item_id = w.item_id AND seed.pos >= w.start AND seed.pos < w.start + w.total GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, start, sum(c)::BIGINT AS both_, any_value(sum) - both_ AS united FROM bag GROUP BY ALL),
+best AS (SELECT *, both_::DOUBLE / united AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both_::DOUBLE / united DESC, start DESC) AS r FROM sim WHERE 100 * both_ >= 75 * united)
 SELECT doc_id, item_id, start::BIGINT AS start, similarity FROM best WHERE r = 1
 """,
 }
