@@ -13,7 +13,8 @@ Rates become copies by systematic rounding: within a source, ordered by size, do
 ``floor(F_j + p) - floor(F_(j-1) + p)`` extra copies, F the running sum of the rates' fractions. Neighbours differ little in
 size, so a source's words miss their expectation by about one document; the phase p is the one of ``PHASES`` that misses
 least, found from the counts by (source, size). The running sum is put together from counts by (source, size), counts by
-(source, size, salt) and a row number within one salt, so no source or group of copies meets in one task.
+(source, size, salt) and a row number within one salt; salts grow with the rows, and rows that are equal in key and text and too
+many for a task are divided further (``hot``), so no source or group of copies meets in one task.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm import hot
+from lattica.operators.numbering import numbered
 from lattica.session import cut
 
 #: Words, as the contract counts them.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast (a row is under 200 bytes); beyond, Spark chooses the join.
 BROADCAST_SOURCES = 100_000
+#: Salts at least; more where each would have more than ``hot.HOT`` rows of all.
 SALTS = 64
+#: Runs of the order of sources that are numbered apart, where sources are many.
+RUNS = 1024
 PHASES = 32
 
 
@@ -35,29 +41,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ids(sources: DataFrame, few: bool) -> DataFrame:
+    """``sources`` with sid: 0, 1, ... in code-point order, null last."""
+    if few:
+        return sources.withColumn("sid", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long"))
+    some = sorted(r.source for r in sources.filter("source is not null").orderBy(F.xxhash64("source")).limit(16 * RUNS).select("source").collect())
+    bounds = F.array(*map(F.lit, [some[i * len(some) // RUNS] for i in range(1, RUNS)])) if some else F.array().cast("array<string>")
+    run = F.when(F.col("source").isNull(), F.lit(RUNS)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("source"))))
+    return numbered(sources, "sid", [F.col("source").asc_nulls_last()], run)
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], max_rate: int) -> DataFrame:
     """(sid, source, source_size, n) -> the same with weight and target.
 
     Targets share the total by weight; those above ``max_rate`` times their source's size stop there and the excess goes to
-    the others by weight until none is above. With sources ordered by size / weight this is one pass of running sums.
+    the others by weight until none is above. What a weight of 1 gets only rises on the way, so a pass over the sources needs
+    but that level of the pass before: two sums a pass, in whole numbers.
     """
     big = "decimal(38,0)"
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("sid"), F.lit(len(weights))) + 1).cast("int"))
-    order = Window.orderBy((F.col("cap") / F.col("weight")), "sid")  # a row for each source, not for each document
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy(F.lit(1))
-    rated = (
-        sources.withColumn("weight", weight.cast("long"))
-        .withColumn("cap", F.col("source_size") * F.lit(max_rate))
-        .withColumn("total", F.sum("source_size").over(every))
-        .withColumn("rest", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("weights", F.sum("weight").over(after))
-        .withColumn("capped", F.col("cap").cast(big) * F.col("weights") <= F.col("weight").cast(big) * F.col("rest"))
-        .withColumn("left", F.col("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every))
-        .withColumn("among", F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every))
-    )
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("left") / F.col("among"))
-    return rated.select("sid", "source", "source_size", "n", F.col("weight"), target.cast("double").alias("target"))
+    rated = cut(sources.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * F.lit(max_rate)))
+    total, free = (int(x or 0) for x in rated.agg(F.sum(F.col("source_size").cast(big)), F.sum(F.col("weight").cast(big))).first())
+    rest = total
+    while True:
+        capped = F.col("cap").cast(big) * F.lit(free).cast(big) <= F.col("weight").cast(big) * F.lit(rest).cast(big)
+        stopped, among = (int(x or 0) for x in rated.agg(F.sum(F.when(capped, F.col("cap")).cast(big)), F.sum(F.when(~capped, F.col("weight")).cast(big))).first())
+        if (total - stopped, among) == (rest, free) or not among:
+            break
+        rest, free = total - stopped, among
+    target = F.when(capped, F.col("cap").cast("double")).otherwise(F.col("weight") * F.lit(float(total - stopped)) / F.lit(float(max(among, 1))))
+    return rated.select("sid", "source", "source_size", "n", "weight", target.cast("double").alias("target"))
 
 
 def tilts(counts: DataFrame, sources: DataFrame, max_rate: int, small: bool, steps: int = 80, near: float = 1e-9) -> DataFrame:
@@ -131,9 +144,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3
     by_source = base.groupBy("source", "size").agg(F.count("*").alias("c"))
     by_source = cut(by_source)
     found = by_source.groupBy("source").agg(F.sum(F.col("c") * F.col("size")).alias("source_size"), F.sum("c").alias("n"))
-    found = found.withColumn("sid", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).cast("long"))
-    sources = cut(targets(found, weights, max_rate))
-    small = sources.count() <= BROADCAST_SOURCES
+    found = cut(found)
+    number, all_rows, most = by_source.agg(F.count_distinct(F.struct("source")), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
+    small = number <= BROADCAST_SOURCES
+    sources = cut(targets(_ids(found, small), weights, max_rate))
     join = F.broadcast if small else (lambda x: x)
 
     same = F.col("source").eqNullSafe(F.col("s"))
@@ -154,25 +168,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3
         .select("sid", "size", "c", "rate", "whole", "part", "before")
     )
     rated = rated.join(join(phases(rated, sources)), "sid").drop("c")
+    # rows equal in key and text are few, or divided: such a group can't be larger than all rows of its source and size
+    lanes = hot.divided(base, ["key", "mark"]) if most > hot.HOT else None
+    base, lane = (base, []) if lanes is None else (lanes, ["lane"])
     salted = base.join(join(sources.select(F.col("source").alias("s"), "sid", "source_size", "target")), same).drop("s", "source")
-    salted = salted.withColumn("salt", F.pmod(F.col("mark"), F.lit(SALTS)).cast("int"))
+    salted = salted.withColumn("salt", F.pmod(F.col("mark"), F.lit(max(SALTS, -(-all_rows // hot.HOT)))).cast("int"))
+    if lane:  # the divided rows of a salt come after its others
+        salted = salted.withColumn("lane", F.when(F.col("turn").isNotNull(), F.struct(F.xxhash64("key").alias("k"), F.col("mark").alias("m"), F.pmod("turn", "turns").alias("t")))).drop("turn", "turns")
+        salted = salted.withColumn("lane", F.coalesce(F.to_json("lane"), F.lit("")))
+    cell = ["sid", "size", "salt", *lane]
     places = (
-        salted.groupBy("sid", "size", "salt").agg(F.count("*").alias("c"))
-        .withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("sid", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        salted.groupBy(*cell).agg(F.count("*").alias("c"))
+        .withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("sid", "size").orderBy("salt", *lane).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(rated, ["sid", "size"])
-        .select("sid", "size", "salt", "ahead", "rate", "whole", "part", "before", "phase")
+        .select(*cell, "ahead", "rate", "whole", "part", "before", "phase")
     )
-    place = F.row_number().over(Window.partitionBy("sid", "size", "salt").orderBy("key", "mark")) - 1
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("key", "mark")) - 1
     at = (F.col("before") + F.col("part") * (F.col("ahead") + place).cast("decimal(20,0)")).cast("decimal(38,12)")
     extra = F.floor(F.col("at") + F.col("part") + F.col("phase")) - F.floor(F.col("at") + F.col("phase"))
     return (
-        salted.join(places, ["sid", "size", "salt"])
+        salted.join(places, cell)
         .withColumn("at", at)
         .withColumn("copies", (F.col("whole") + extra).cast("long"))
         .select("row.*", "size", "source_size", "target", F.col("rate").cast("double").alias("rate"), "copies")
     )
 
 
-def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: the columns of ``docs``, every row as often as ``mixed`` takes it."""
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The mix itself: the columns of ``docs``, whatever their names, every row as often as ``mix`` takes it; so rows without words
+    (null, empty or blank texts) never. Null sources are one source, null keys and repeated rows count each. An empty table gives
+    an empty result."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"))
+    mixed = mix(rows, weights, max_rate, key="key", carry=("__row",))
+    return mixed.filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

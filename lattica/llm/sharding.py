@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.llm import hot
+
 CELLS = 1 << 16
 #: A text is heavy from this share of a shard's mean load; at most ``shards * HEAVY`` texts are.
 HEAVY = 64
@@ -71,21 +73,29 @@ def place(docs: DataFrame, shards: int = 40, virtual: int = 64, slack: float = 0
     """Every row of ``docs`` with size, text_crc32, shard and slot (gapless from 0 in each shard).
 
     Size: UTF-8 bytes of the text plus 16. A null text counts as empty (crc32 0) and shares the empty text's place. Repeated
-    rows and ties are numbered in an order of key, then text hash; rows equal in both are interchangeable. An empty table
-    gives an empty result. All input columns are kept; those with names of the result's own are replaced.
+    rows and ties are numbered in an order of key, then text hash; rows equal in both are interchangeable and, if too many for a
+    task, divided (``hot``). An empty table gives an empty result. All input columns are kept; those with names of the result's
+    own are replaced.
     """
     spark = docs.sparkSession
     own = ["size", "text_crc32", "shard", "slot"]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
+    named = docs.select(
         F.struct(*[c for c in docs.columns if c not in own]).alias("row"), F.col(key).alias("key"),
         (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
         F.xxhash64(body).alias("mark"),
     ).withColumn("cell", cell_of(F.col("mark")))
+    rows, narrow = named.withColumn("turn", F.lit(0)), named.select("key", "size", "mark", "cell", F.lit(0).alias("turn"))
 
-    narrow = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 16).cast("long").alias("size"), F.xxhash64(body).alias("mark")).withColumn("cell", cell_of(F.col("mark")))
     cells = {r[0]: [r[1], r[2]] for r in narrow.groupBy("cell").agg(F.sum("size"), F.count("*")).collect()}  # at most CELLS rows
     total = sum(b for b, _ in cells.values())
+    many = [(c,) for c, (_, n) in cells.items() if n > hot.HOT]
+    if many:  # a group of rows equal in key and text can't be larger than its cell
+        wanted = F.broadcast(spark.createDataFrame(many, "cell int"))
+        divided = hot.divided(named, ["key", "mark"], named.select("key", "mark", "cell").join(wanted, "cell"))
+        if divided is not None:
+            rows = divided.withColumn("turn", F.coalesce("turn", F.lit(0)))
+            narrow = rows.select("key", "size", "mark", "cell", "turn")
     heavy_from = max(1, total // (shards * HEAVY))
     ring = Ring(shards, virtual, int(total / shards * (1 + slack)))
 
@@ -98,7 +108,7 @@ def place(docs: DataFrame, shards: int = 40, virtual: int = 64, slack: float = 0
     split = {m: -(-b // max(1, ring.bound)) for _, m, b, _ in heavy if b > ring.bound}
     if split:
         cut = F.broadcast(spark.createDataFrame(list(split.items()), "mark long, pieces int"))
-        piece = F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")
+        piece = F.pmod(F.xxhash64("key", "turn"), F.col("pieces")).cast("int")
         for c, m, p, k, b, n in narrow.join(cut, "mark").withColumn("piece", piece).groupBy("cell", "mark", "piece", "pieces").agg(F.sum("size"), F.count("*")).collect():
             units.append((c, m, p, k, b, n))
     for c, m, b, n in heavy:
@@ -119,13 +129,13 @@ def place(docs: DataFrame, shards: int = 40, virtual: int = 64, slack: float = 0
 
     def seat(df: DataFrame) -> DataFrame:
         split = df.join(F.broadcast(pieces), "mark", "left")
-        piece = F.pmod(F.xxhash64("key"), F.col("pieces")).cast("int")
+        piece = F.pmod(F.xxhash64("key", "turn"), F.col("pieces")).cast("int")
         seat = F.coalesce(F.col("a"), F.col("b"))
         return (
             split.join(F.broadcast(texts), (F.col("mark") == F.col("m")) & (piece == F.col("p")), "left")
             .join(F.broadcast(rest), F.col("cell") == F.col("c"), "left")
             .withColumn("unit", seat["unit"]).withColumn("shard", seat["shard"])
-            .withColumn("run", F.pmod(F.xxhash64("key", "mark", F.lit(7)), seat["runs"]).cast("int"))
+            .withColumn("run", F.pmod(F.xxhash64("key", "mark", "turn", F.lit(7)), seat["runs"]).cast("int"))
         )
 
     ahead = Window.partitionBy("shard").orderBy("unit", "run").rowsBetween(Window.unboundedPreceding, -1)

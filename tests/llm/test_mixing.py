@@ -73,12 +73,36 @@ def test_caps_share_the_excess(spark):
     assert set(a.target) == {60.0} and set(a.copies) == {3} and set(n.copies) == {3} and set(n.target) == {9.0}
 
 
+def test_many_sources(spark, corpus, monkeypatch):
+    """Beyond the bound of a broadcast: ids in runs, joins by a shuffle; the same result."""
+    once = {r.doc_id: (r.copies, r.target) for r in mixing.mix(corpus).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "RUNS", 4)
+    assert once == {r.doc_id: (r.copies, r.target) for r in mixing.mix(corpus).collect()}
+
+
+def test_equal_rows_are_divided(spark, monkeypatch):
+    """Groups of rows equal in key and text, larger than a task may number; the same copies in all as without dividing."""
+    rows = [(i, "w " * (i % 9), f"s{i % 3}") for i in range(300)] + [(None, "w w w", "s0")] * 200 + [(5, "w w w", "s1")] * 90 + [(None, None, "s1")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = lambda d: sorted((r.doc_id or -1, r.text or "", r.source, r.copies) for r in mixing.mix(d).collect())
+    once = found(docs)
+    words = lambda rows, s: sum(c * len(t.split()) for _, t, own, c in rows if own == s)
+    monkeypatch.setattr(mixing.hot, "HOT", 20)
+    for parts in (1, 4):
+        again = found(docs.repartition(parts))
+        assert len(again) == len(rows) and all(abs(words(again, s) - words(once, s)) <= 8 for s in ("s0", "s1", "s2"))
+    assert again == found(docs.repartition(2))
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     got = mixing.mix(docs)
     assert got.count() == docs.count() and got.filter("copies is null or size is null").count() == 0
     assert got.filter("text is null").first()["size"] == 0 and got.filter("size = 0 and copies > 0").count() == 0
-    assert mixing.take(docs, got).columns == docs.columns
-    assert mixing.take(docs, got).count() == got.agg(F.sum("copies")).first()[0]
     assert mixing.mix(widened(docs)).count() == docs.count()
     assert mixing.mix(empty(spark)).count() == 0
+    taken = mixing.take(widened(docs))
+    assert taken.columns == widened(docs).columns and taken.count() == got.agg(F.sum("copies")).first()[0]
+    assert taken.filter("size <> 'clash' or copies <> 'clash' or target <> 'clash'").count() == 0
+    assert mixing.take(empty(spark)).count() == 0

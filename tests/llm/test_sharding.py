@@ -59,6 +59,47 @@ def test_reruns_agree(spark):
     assert key(sharding.place(docs, 7)) == key(sharding.place(docs.repartition(3, F.rand(1)), 7))
 
 
+def test_place_is_the_plain_walk(spark):
+    """Heavy texts first, by falling size, then the rest cell by cell; each to the first shard clockwise with room."""
+    docs = corpus(spark, 1500).union(spark.createDataFrame([(5000 + i, ("one long text ", "another text ")[i % 2] * 300) for i in range(6)], "doc_id long, text string"))
+    shards, virtual, slack = 6, 64, 0.0005
+    marks = {r.text: r.m for r in docs.selectExpr("text", "xxhash64(text) as m").collect()}
+    size, cells = {}, {}
+    for r in docs.collect():
+        size[r.text] = size.get(r.text, 0) + len(r.text.encode()) + 16
+    total = sum(size.values())
+    bound, heavy = int(total / shards * (1 + slack)), {t for t, b in size.items() if b >= max(1, total // (shards * sharding.HEAVY))}
+    for t in size:
+        cells.setdefault((marks[t] % 2**64) >> 48, []).append(t)
+    units = sorted((-size[t], (marks[t] % 2**64) >> 48, marks[t], [t]) for t in heavy)
+    units = [(c, -b, ts) for b, c, _, ts in units] + [(c, sum(size[t] for t in rest), rest) for c, ts in sorted(cells.items()) if (rest := [t for t in ts if t not in heavy])]
+    loads, want, order = [0] * shards, {}, sharding.points(shards, virtual)
+    for cell, b, ts in units:
+        walk = list(dict.fromkeys([s for c, s in order if c >= cell] + [s for c, s in order if c < cell]))
+        seat = next((s for s in walk if loads[s] + b <= bound), None)
+        seat = min(walk, key=lambda s: loads[s]) if seat is None else seat
+        loads[seat] += b
+        want |= dict.fromkeys(ts, seat)
+    got = sharding.place(docs, shards, virtual, slack).collect()
+    assert len(heavy) > 1 and all(want[r.text] == r.shard for r in got)
+
+
+def test_equal_rows_are_divided(spark, monkeypatch):
+    """A text whose rows all lack a key, larger than a shard: pieces, runs and slots hold none the less."""
+    rows = [(None, "the same text " * 3)] * 2000 + [(i, text(i, 30)) for i in range(400)] + [(None, "")] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(sharding.hot, "HOT", 16)
+    monkeypatch.setattr(sharding, "RUN", 8)
+    found = []
+    for parts in (1, 3):
+        got = sharding.place(docs.repartition(parts), 8).toPandas()
+        assert len(got) == len(rows) and all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+        loads = got.groupby("shard")["size"].sum()
+        assert loads.max() <= 1.3 * loads.mean() and len(loads) == 8
+        found.append(got[got.doc_id.notna()].groupby("text")["shard"].nunique().max())
+    assert found == [1, 1]
+
+
 def test_odd_rows(spark):
     docs = documents(spark)
     got = sharding.place(docs, 4).toPandas()
