@@ -16,7 +16,7 @@ from lattica.session import cut
 #: Up to so many edges (about 20 bytes each) are broadcast.
 BROADCAST_EDGES = 1 << 22
 #: Up to so many entries (about 60 bytes each) are peeled in one task; beyond, a level is a pass over the table.
-LOCAL_ENTRIES = 1 << 23
+LOCAL_ENTRIES = 1 << 22
 
 
 def _degrees(edges: DataFrame) -> DataFrame:

@@ -135,6 +135,9 @@ WITH {cells("x", "(SELECT count(*) FROM supplier)", 0.1, 7, False)}, a AS (SELEC
     "level_rank": f'WITH RECURSIVE {LEVELS} SELECT "row", level, row_number() OVER (PARTITION BY level ORDER BY "row") AS rank FROM lev',
     "components": COMPONENTS,
     "components_incremental": COMPONENTS,
+    "refusals": """
+SELECT input, input <> 'a sound matrix' AS refused FROM (VALUES ('not morally triangular'), ('two rows with one column'), ('another banner'), ('fewer entries than declared'),
+('an entry outside'), ('a dataset that lacks entries'), ('a spec without sizes'), ('an unknown strategy'), ('a sound matrix')) c(input)""",
     "fifo_exchange": f"WITH {MESSAGES} SELECT src, dest, seq, l_orderkey, row_number() OVER (PARTITION BY src, dest ORDER BY seq) - 1 AS place FROM g",
     "exchange_stats": "WITH c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey % 8) SELECT sum(n)::BIGINT AS pushes, count(*) AS destinations, max(n) AS most, min(n) AS fewest FROM c",
     "exchange_observed": "SELECT count(*) AS pushes, count(*) AS pulls, sum(strlen(l_orderkey::VARCHAR))::BIGINT AS bytes_sent, sum(strlen(l_orderkey::VARCHAR))::BIGINT AS bytes_received FROM lineitem",

@@ -476,6 +476,45 @@ def components_incremental(spark, d):
     return steady.component_waves(spark, [edges.filter(F.col("u") % 3 == i) for i in range(3)])
 
 
+@query
+def refusals(spark, d):
+    """(case, refused): inputs that operators and readers refuse with a ValueError."""
+    ids = spark.range(2)
+    pairs = lambda *p: mx.Matrix(spark.createDataFrame(list(p), "row long, col long"), 2, 2)
+
+    def read(*lines):
+        path = scratch(spark, "mm")
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+        return matrix_market.read(spark, path)
+
+    def short_dataset():
+        path = scratch(spark, "dataset")
+        dataset.write(pairs((0, 0), (1, 1)), path, 2)
+        meta = spark.createDataFrame([(2, 2, 3, 2)], "numrows long, numcols long, nnz long, writers int")
+        meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+        return dataset.read(spark, path)
+
+    cases = {
+        "not morally triangular": lambda: graph.toposort_levels(pairs((0, 0), (0, 1), (1, 0), (1, 1))),
+        "two rows with one column": lambda: graph.toposort_levels(pairs((0, 0), (1, 0))),
+        "another banner": lambda: read("%%MatrixMarket matrix array real general", "2 2"),
+        "fewer entries than declared": lambda: read("%%MatrixMarket matrix coordinate pattern general", "2 2 2", "1 1"),
+        "an entry outside": lambda: read("%%MatrixMarket matrix coordinate pattern general", "2 2 1", "3 1"),
+        "a dataset that lacks entries": short_dataset,
+        "a spec without sizes": lambda: generators.parse_spec("1"),
+        "an unknown strategy": lambda: strategies.run("triangles", "none", ids),
+        "a sound matrix": lambda: graph.toposort_levels(pairs((0, 0), (0, 1), (1, 1))),
+    }
+    found = []
+    for name, case in cases.items():
+        try:
+            case()
+            found.append((name, False))
+        except ValueError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "case string, refused boolean").withColumnRenamed("case", "input")
+
+
 # exchanges
 
 
