@@ -37,6 +37,8 @@ _BYTE = seeds(256, 11)
 #: The same with A-Z as a-z.
 _FOLD = _BYTE.copy()
 _FOLD[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+#: Independent of these, where 64 bits are too few.
+_OTHER = seeds(256, 13)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -77,9 +79,10 @@ def spans(data: np.ndarray, offsets: np.ndarray, stops: np.ndarray = SPACES) ->
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial from running sums, then mixed. fold: A-Z count as a-z."""
-    out, table, i = np.empty(len(starts), np.uint64), _FOLD if fold else _BYTE, 0
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, table: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: a polynomial from running sums, then mixed. fold: A-Z count as a-z. table: each byte's number."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    table = table if table is not None else _FOLD if fold else _BYTE
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SEGMENT, "right")))
         base = starts[i]
@@ -93,6 +96,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return mix(out)
 
 
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another 64 bits of each span's bytes; spans in any order."""
+    order, out = np.argsort(starts, kind="stable"), np.empty(len(starts), np.uint64)
+    out[order] = span_hashes(data, starts[order], ends[order], table=_OTHER)
+    return out
+
+
 def words(column, stops: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, number of words before each document)."""
     data, offsets = utf8(column)

@@ -6,13 +6,14 @@ run of space marks with the characters up to the next one. The pieces of each di
 
 1. Recurring pre-tokens (twice or more in some megabyte of text) with their frequency: counted where they lie, added up by a
    shuffle of those counts alone.
-2. Each of the ``known`` most frequent ones is encoded once and gives (64-bit hash, pieces). These 12 bytes each, a fixed bound,
+2. Each of the ``known`` most frequent ones is encoded once and gives (128-bit hash, pieces). These 20 bytes each, a fixed bound,
    are broadcast and joined with every document's pre-token frequencies where these are computed.
 3. The other pre-tokens, mostly words that occur once or twice in the corpus, are encoded once in each megabyte that has them:
    that costs less than to shuffle them. Every pre-token of every text is counted one way or the other, and no ids are kept.
 
 To shuffle all distinct pre-tokens and all frequencies of the rare ones, so that the rare ones too are encoded once only, needs
-3.4 times the input on disk (projected to 30 GB from 0.5). Two of 10^9 distinct pre-tokens share a hash with probability 3%.
+3.4 times the input on disk (projected to 30 GB from 0.5). Within one megabyte 64 bits tell pre-tokens apart: in 10^8 megabytes of
+10^5 distinct ones, two share them with a probability of 3%.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from lattica.llm import bytewords
 from lattica.session import cut
 
 MARK = "▁"
-#: Most counts that are broadcast: 6 MB.
+#: Most counts that are broadcast: 10 MB.
 KNOWN = 500_000
 _STOP = np.zeros(256, bool)
 _STOP[0x20] = True
@@ -88,23 +89,24 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             distinct, first, count = np.unique(h, return_index=True, return_counts=True)
             on = count > 1
             tokens = _texts(data, starts[first[on]], ends[first[on]])
-            yield pa.RecordBatch.from_arrays([pa.array(distinct[on].view(np.int64)), pa.array(tokens, pa.string()), pa.array(count[on])], ["hash", "token", "freq"])
+            second = bytewords.second_hashes(data, starts[first[on]], ends[first[on]])
+            yield pa.RecordBatch.from_arrays([pa.array(distinct[on].view(np.int64)), pa.array(second.view(np.int64)), pa.array(tokens, pa.string()), pa.array(count[on])], ["hash", "second", "token", "freq"])
 
 
 def _pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = model(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(_encode(sp, batch.column("token").to_pylist()))], ["hash", "pieces"])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("second"), pa.array(_encode(sp, batch.column("token").to_pylist()))], ["hash", "second", "pieces"])
 
     return run
 
 
-def _sum(path: str, hashes, counts):
+def _sum(path: str, hashes, seconds, counts):
     """Documents -> bytes and pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp, known, pieces = model(path), hashes.value, counts.value
+        sp, known, other, pieces = model(path), hashes.value, seconds.value, counts.value
         for whole in batches:
             for batch in bytewords.pieces(whole, "text", 1 << 20):
                 size, data, starts, ends, h, doc = _read(batch)
@@ -112,6 +114,8 @@ def _sum(path: str, hashes, counts):
                 place = np.searchsorted(known, distinct)
                 hit = place < len(known)
                 hit[hit] = known[place[hit]] == distinct[hit]
+                at = first[hit]
+                hit[hit] = other[place[hit]] == bytewords.second_hashes(data, starts[at], ends[at])
                 n = np.zeros(len(distinct), np.int64)
                 n[hit] = pieces[place[hit]]
                 n[~hit] = _encode(sp, _texts(data, starts[first[~hit]], ends[first[~hit]]))
@@ -129,15 +133,15 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, known: int = KNO
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.mapInArrow(_recurring, "hash long, token string, freq long")
-    found = cut(found.groupBy("hash").agg(F.min("token").alias("token"), F.sum("freq").alias("freq")))
+    found = docs.mapInArrow(_recurring, "hash long, second long, token string, freq long")
+    found = cut(found.groupBy("hash", "second").agg(F.min("token").alias("token"), F.sum("freq").alias("freq")))
     # frequencies from the smallest on for which all that are as frequent still fit
     ranks = found.groupBy("freq").agg(F.count("*").alias("c")).withColumn("above", F.sum("c").over(Window.orderBy(F.desc("freq"))))
     least = ranks.filter(F.col("above") <= known).agg(F.min("freq")).first()[0]
     top = found.filter(F.col("freq") >= F.lit(1 << 62 if least is None else least))
-    got = top.select("hash", "token").mapInArrow(_pieces(path), "hash long, pieces long").toArrow()  # at most ``known`` rows
-    h, n = got["hash"].to_numpy().view(np.uint64), got["pieces"].to_numpy().astype(np.int32)
+    got = top.select("hash", "second", "token").mapInArrow(_pieces(path), "hash long, second long, pieces long").toArrow()  # at most ``known`` rows
+    h, h2, n = got["hash"].to_numpy().view(np.uint64), got["second"].to_numpy().view(np.uint64), got["pieces"].to_numpy().astype(np.int32)
     order = np.argsort(h)
     send = spark.sparkContext.broadcast
-    counted = docs.mapInArrow(_sum(path, send(h[order]), send(n[order])), "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.mapInArrow(_sum(path, send(h[order]), send(h2[order]), send(n[order])), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
