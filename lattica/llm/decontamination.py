@@ -77,7 +77,10 @@ def _seeds(docs: DataFrame, shingles: DataFrame, key: str, mark: Column, size: i
     """Each position of a document whose ``width``-word shingle is an item's, with that item."""
     small = F.broadcast if shingles.count() <= BROADCAST else (lambda x: x)
     positions = docs.select(F.col(key).alias("key"), mark.alias("row_mark"), word_hashes(F.col("text")).alias("words"))
-    positions = positions.select("key", "row_mark", F.size("words").alias("length"), F.posexplode(shingle_hashes(F.col("words"), width)).alias("at", "h"))
+    # the words from the first, second, ... on side by side: rows come apart and are hashed in generated code, unlike in a lambda
+    runs = F.arrays_zip(*[F.slice("words", k, F.greatest(F.size("words") - (width - 1), F.lit(0))).alias(f"w{k}") for k in range(1, width + 1)])
+    positions = positions.select("key", "row_mark", F.size("words").alias("length"), F.posexplode(runs).alias("at", "run"))
+    positions = positions.select("key", "row_mark", "length", "at", F.xxhash64(*[f"run.w{k}" for k in range(1, width + 1)]).alias("h"))
     return positions.join(small(shingles.filter(F.col("width") == width)), "h").dropDuplicates(["row_mark", "item", "at"])
 
 
