@@ -1,11 +1,13 @@
 """Web pages: main text and URL filter."""
 
+import math
 import re
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lattica.llm import dom, html_pages, html_text, trees, url_filter
 
@@ -127,21 +129,45 @@ def test_url_filter(spark, small):
             assert r.verdict == (verdict or ("block" if r.score >= 0.5 else "allow"))
     assert url_filter.judge(every.filter("page_id < 0")).count() == 0
     assert {r.verdict for r in url_filter.judge(odd.filter("url = 'x'")).collect()} == {"allow"}
-
-
-def test_url_trees_hold_out():
+    clashing = every.withColumns({c: F.lit("clash") for c in ("host", "path", "rule", "verdict", "score", "own", "order", "depth", "dots")})
+    key = lambda r: (str(r.page_id), r.host, r.path, r.rule or "", r.verdict)
+    assert sorted(map(key, url_filter.judge(clashing).collect())) == sorted(map(key, got))
+
+
+def test_url_features_against_plain_counts(spark):
+    rows = [(i, u) for i, u in enumerate([*URLS, "https://a-b.c1.co.uk/x/yy_9/z.html?a=1&b=2#f?g=h", "http://h/p#f?x=1"])]
+    table = url_filter._read(spark.createDataFrame(rows, "page_id long, url string"), F.col("page_id")).orderBy("page_id").toArrow()
+    got = url_filter.features(table, {"uk": 0.25, "co.uk": 0.75}, 0.5)
+
+    def entropy(t):
+        b = t.encode()
+        return -sum(b.count(c) / len(b) * math.log2(b.count(c) / len(b)) for c in set(b))
+
+    for (_, url), x in zip(rows, got, strict=True):
+        url = url or ""
+        host, path, *_ = plain_rule(url)
+        query, steps = url.partition("?")[2].partition("#")[0], [s for s in path.split("/") if s]
+        digits = lambda t: sum(c in "0123456789" for c in t)
+        want = [
+            len(url), len(host), len(path), len(query), host.count("."), len(steps), max(map(len, steps), default=0), digits(url) / max(1, len(url)),
+            digits(host), url.count("-") + url.count("_"), query.count("=") + query.count("&"), url.startswith("https"), "#" in url,
+            bool(steps) and "." in steps[-1], entropy(host), entropy(path), 0.25 if host.endswith(".uk") else 0.5, 0.75 if host.endswith(".co.uk") else 0.5,
+        ]
+        assert np.allclose(x, np.array(want, float)), url
+
+
+def test_url_trees_hold_out(spark):
     rng = np.random.default_rng(3)
-    urls, hosts, paths = [], [], []
+    urls = []
     for i in range(1500):
         bad = i % 2
         host = f"{'x' * int(rng.integers(3, 9))}.{('spam', 'good', 'mid')[int(rng.integers(0, 3))]}.{('biz' if bad and i % 3 else 'org')}"
         path = "/" + "/".join("a" * int(rng.integers(1, 9)) + ("7" * int(rng.integers(5, 9)) if bad else "") for _ in range(int(rng.integers(1, 4))))
         urls.append(f"http://{host}{path}")
-        hosts.append(host)
-        paths.append(path)
     blocked = np.arange(1500) % 2 == 1
-    model = url_filter.fit(urls[:1000], hosts[:1000], paths[:1000], blocked[:1000])
-    assert ((model.scores(urls[1000:], hosts[1000:], paths[1000:]) > 0.5) == blocked[1000:]).mean() > 0.95
+    rows = url_filter._read(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), F.col("page_id")).orderBy("page_id").toArrow()
+    model = url_filter.fit(rows.slice(0, 1000), blocked[:1000])
+    assert ((model.scores(rows.slice(1000)) > 0.5) == blocked[1000:]).mean() > 0.95
 
 
 def test_parse_keeps_what_follows_an_open_head():
