@@ -141,7 +141,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3
         F.struct(*[c for c in (docs.columns if carry is None else carry) if c not in own]).alias("row"), word_count(F.col(text)).alias("size"),
         F.col(source).alias("source"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(key).alias("key"),
     )
-    by_source = base.groupBy("source", "size").agg(F.count("*").alias("c"))
+    # texts are read once for their sizes; what is carried is read again, or written too where it is a few plain columns
+    kinds = dict(docs.dtypes)
+    slim = carry is not None and all(c != text and not kinds[c].startswith(("struct", "array", "map")) for c in carry)
+    narrow = cut(base if slim else base.drop("row"))
+    base = narrow if slim else base
+    by_source = narrow.groupBy("source", "size").agg(F.count("*").alias("c"))
     by_source = cut(by_source)
     found = by_source.groupBy("source").agg(F.sum(F.col("c") * F.col("size")).alias("source_size"), F.sum("c").alias("n"))
     found = cut(found)
@@ -169,16 +174,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3
     )
     rated = rated.join(join(phases(rated, sources)), "sid").drop("c")
     # rows equal in key and text are few, or divided: such a group can't be larger than all rows of its source and size
-    lanes = hot.divided(base, ["key", "mark"]) if most > hot.HOT else None
-    base, lane = (base, []) if lanes is None else (lanes, ["lane"])
-    salted = base.join(join(sources.select(F.col("source").alias("s"), "sid", "source_size", "target")), same).drop("s", "source")
-    salted = salted.withColumn("salt", F.pmod(F.col("mark"), F.lit(max(SALTS, -(-all_rows // hot.HOT)))).cast("int"))
-    if lane:  # the divided rows of a salt come after its others
-        salted = salted.withColumn("lane", F.when(F.col("turn").isNotNull(), F.struct(F.xxhash64("key").alias("k"), F.col("mark").alias("m"), F.pmod("turn", "turns").alias("t")))).drop("turn", "turns")
-        salted = salted.withColumn("lane", F.coalesce(F.to_json("lane"), F.lit("")))
+    lanes = hot.divided(base, ["key", "mark"], narrow) if most > hot.HOT else None
+    lane = [] if lanes is None else ["lane"]
+    if lanes is not None:
+        base, narrow = lanes, lanes.drop("row")
     cell = ["sid", "size", "salt", *lane]
+
+    def salted(rows: DataFrame) -> DataFrame:
+        rows = rows.join(join(sources.select(F.col("source").alias("s"), "sid", "source_size", "target")), same).drop("s", "source")
+        rows = rows.withColumn("salt", F.pmod(F.col("mark"), F.lit(max(SALTS, -(-all_rows // hot.HOT)))).cast("int"))
+        if lane:  # the divided rows of a salt come after its others
+            turn = F.struct(F.xxhash64("key").alias("k"), F.col("mark").alias("m"), F.pmod("turn", "turns").alias("t"))
+            rows = rows.withColumn("lane", F.coalesce(F.to_json(F.when(F.col("turn").isNotNull(), turn)), F.lit(""))).drop("turn", "turns")
+        return rows
+
     places = (
-        salted.groupBy(*cell).agg(F.count("*").alias("c"))
+        salted(narrow).groupBy(*cell).agg(F.count("*").alias("c"))
         .withColumn("ahead", F.coalesce(F.sum("c").over(Window.partitionBy("sid", "size").orderBy("salt", *lane).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(rated, ["sid", "size"])
         .select(*cell, "ahead", "rate", "whole", "part", "before", "phase")
@@ -187,7 +198,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rate: int = 3
     at = (F.col("before") + F.col("part") * (F.col("ahead") + place).cast("decimal(20,0)")).cast("decimal(38,12)")
     extra = F.floor(F.col("at") + F.col("part") + F.col("phase")) - F.floor(F.col("at") + F.col("phase"))
     return (
-        salted.join(places, cell)
+        salted(base).join(places, cell)
         .withColumn("at", at)
         .withColumn("copies", (F.col("whole") + extra).cast("long"))
         .select("row.*", "size", "source_size", "target", F.col("rate").cast("double").alias("rate"), "copies")
