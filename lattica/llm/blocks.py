@@ -24,9 +24,10 @@ def open_lists(members: DataFrame, block: int, across: bool) -> DataFrame:
 
 
 def places(across: bool):
-    """For a row of ``node``, ``component`` and a list's ``major``, ``xs``, ``ys``: an array of (x, y, role), the blocks it goes to."""
+    """For a row of ``node``, ``component``, ``list`` and the list's ``major``, ``xs``, ``ys``: an array of (x, y, role), the blocks it goes to."""
     minor = F.col("component") != F.col("major")
-    ownx, owny = F.pmod(F.xxhash64("node", F.lit(1)), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node"), F.col("ys")).cast("int")
+    # another spread for each list, so that members that miss each other in one meet in the next
+    ownx, owny = F.pmod(F.xxhash64("node", "list", F.lit(1)), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node", "list"), F.col("ys")).cast("int")
     role = lambda left: F.when(minor & left, F.lit(LEFT | RIGHT | MINOR)).when(minor, F.lit(RIGHT | MINOR)).otherwise(F.lit(RIGHT))
     found = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: F.struct(x.alias("x"), owny.alias("y"), role(x == ownx).alias("role")))
     if not across:

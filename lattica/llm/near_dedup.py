@@ -9,12 +9,12 @@ rarity common to all. So lists of one node are dropped, a node with fewer than T
 under their rarest coordinates only; frequent lines and passages come last and mostly aren't posted.
 
 Skip merging: lists whose members are all in one component are skipped. Of the others, the members are compared by their whole
-signatures in blocks, each pair in the first list that both are posted in. Those with a partner above the match threshold in
-another component go, with their texts, to the task that verifies them; there a union-find over the block's components skips
+signatures in blocks (``blocks``), each pair in the first list that both are posted in. Those with a partner above the match threshold
+in another component go, with their texts, to the task that verifies them; there a union-find over the group's components skips
 what is joined already, best partners first, and only links that join two components leave the task. So neither candidates nor
-links of a group of near copies are ever rows: a list of m members gives at most m - 1 links. The first round takes the ``WIDE`` largest lists of each node,
-each block by itself; the second takes all lists that are still open, all blocks of a list against its members outside of its largest component. So no
-pair that could join two components is left out.
+links of a group of near copies are ever rows: a list of m members gives m - 1 links at most. The first round takes the ``WIDE``
+largest lists of each node, each block by itself; the second all lists that are still open, with the pairs of different blocks. So
+no pair that could join two components is left out.
 
 The posted coordinates are K = 64 with T = 32; whole signatures have ``MORE`` = 128 further ones (a byte each) and a threshold of
 ``TOTAL`` = 120 of 192. Two documents at similarity 0.75 fall below T with a probability of about 2e-6, below the other with 2e-5
@@ -41,8 +41,8 @@ MORE = 128
 TOTAL = 120
 #: The first round takes so many lists of each node, the largest.
 WIDE = 4
-#: A block has members of this weight; a member weighs 1 for every ``HEAVY`` shingles begun. So a block has 8 MB of shingles at most.
-BLOCK = 2048
+#: A block has members of this weight; a member weighs 1 for every ``HEAVY`` shingles begun. So a block has 4 MB of shingles, give or take.
+BLOCK = 1024
 HEAVY = 512
 #: Texts to verify are found by a broadcast of their keys up to this many (24 bytes each), by a shuffle beyond.
 BROADCAST_IDS = 2_000_000

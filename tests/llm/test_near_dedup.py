@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from lattica.llm import near_dedup
 from tests.llm.common import documents, empty, odd_rows, text, widened
 
@@ -113,6 +115,9 @@ def test_odd_rows(spark):
     assert {(x[1], x[2]) for x in by[None]} == {(6, False), (None, False)}
     assert by[9][0][0] == len(shingle_set(dict((r[0], r[1]) for r in odd_rows())[9]))
     assert near_dedup.dedup(empty(spark)).count() == 0
+    clashing = docs.withColumns({c: F.lit("clash") for c in ("n", "k1", "k2", "at", "id_", "mark", "node", "rep", "least", "component", "component_id", "kept", "list", "sig")})
+    key = lambda r: (r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept)
+    assert sorted(map(key, near_dedup.dedup(widened(clashing)).collect())) == sorted(map(key, got))
 
 
 def test_keep_one(spark):
