@@ -42,7 +42,7 @@ WINDOW, EVERY, SHORTEST, LONGEST = 8, 512, 3072, 5120
 #: A band has so many places of one walk; there are PLACES / BAND bands.
 BAND = 4
 #: Fingerprints of one band that are compared in one block.
-BLOCK = 2048
+BLOCK = 1024
 #: Documents in groups are broadcast up to this many (40 bytes each); beyond, Spark shuffles.
 BROADCAST = 1_000_000
 #: Bytes of text that a part of the order of documents holds, and the most parts.
@@ -262,14 +262,15 @@ def compare_next(docs: DataFrame, parts: int | None = None, groups: DataFrame |
     rows = _keyed(docs)
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = parts or max(1, min(MOST_PARTS, -(-size // PART)))
-    share = min(1.0, 40 * parts / max(n, 1))
-    some = sorted((~r.key, r.mark) for r in rows.filter(F.pmod(F.xxhash64("mark", "key", F.lit(5)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("key", "mark").limit(80 * parts).collect())
-    bounds = [some[i * len(some) // parts] for i in range(1, parts)] if some else []
+    some = rows.select(F.bitwise_not("key").alias("key"), "mark").sample(min(1.0, 40 * parts / max(n, 1)), 7).toArrow()  # about 40 a part
+    key, mark = some["key"].to_numpy(), some["mark"].to_numpy()
+    order = np.lexsort((mark, key))[[i * len(key) // parts for i in range(1, parts)]] if len(key) else []
+    bounds = [(int(key[i]), int(mark[i])) for i in order]
     first = {r.part: (~r.k, r.m) for r in rows.select("key", "mark").mapInArrow(_dealt(bounds, None), "part int, key long, mark long").groupBy("part").agg(F.max("key").alias("k"), F.min_by("mark", F.struct(F.bitwise_not("key").alias("k"), "mark")).alias("m")).collect()}
-    order = sorted(first)  # at most ``parts``
+    full = sorted(first)  # at most ``parts``
     heads: dict[tuple[int, int], list[int]] = {}
-    for i, p in enumerate(order):
-        heads.setdefault(first[order[(i + 1) % len(order)]], []).append(p)
+    for i, p in enumerate(full):
+        heads.setdefault(first[full[(i + 1) % len(full)]], []).append(p)
     dealt = rows.mapInArrow(_dealt(bounds, heads), "part int, halo int, key long, doc_id long, mark long, text string")
     dealt = dealt.repartition(max(1, parts // 4), "part").sortWithinPartitions("part", "halo", F.desc("key"), "mark", "text")
     result = "doc_id long, mark long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
