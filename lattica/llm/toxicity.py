@@ -203,13 +203,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         return fit(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
     y, terms = got["y"].to_numpy().astype(float), got["terms"].chunk(0)
     number = np.diff(terms.offsets.to_numpy())
-    flat = terms.values.to_numpy().astype(np.int64)[terms.offsets[0].as_py() :]
+    flat = terms.flatten().to_numpy()
     sketch = got["sketch"].chunk(0).flatten().to_numpy().reshape(len(y), 2)
     rank = np.empty(len(y), np.int64)
     rank[order := np.lexsort((y, sketch[:, 1], sketch[:, 0]))] = np.arange(len(y))
-    doc = np.repeat(rank, number)
-    by = np.lexsort((flat, doc))
-    return fit(y[order], doc[by], flat[by])
+    cell = np.repeat(rank * (4 * LEVEL), number) + flat  # document and feature in one, so that one sort orders both
+    del got, terms, flat
+    cell.sort()
+    return fit(y[order], (cell // (4 * LEVEL)).astype(np.int32), (cell % (4 * LEVEL)).astype(np.int32))
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
