@@ -17,7 +17,7 @@ window reaches ``percent``.
 4. The exact similarity decides.
 
 Blocks of a multi-index would have to be radius + 1, of 2 or 3 bits each, to guarantee the radius that 0.75 needs: two unrelated
-fingerprints share one with a probability of 0.99, so a join on them is a join of all windows with all items. The seeds know the
+fingerprints share one with a probability of 0.999, so a join on them is a join of all windows with all items. The seeds know the
 pairs already; the fingerprints are compared on these.
 
 Words are those of the lower-cased text between white space. Equal windows of different documents are compared once.
