@@ -18,14 +18,16 @@ def shingles(t, k=5):
 
 def brute(docs, items):
     """{(doc_id, item_id): (similarity, start)} of the best window, of equals the last."""
-    found = {}
+    found, read = {}, {}
     for i, u in items:
         m = shingles(u)[0]
         k = min(m, 5)
         own = shingles(u, k)[1] if m else []
         bag = collections.Counter(own)
         for d, t in docs if own else ():
-            n, s = shingles(t, k)
+            n, s, distinct = read.get((d, t, k)) or read.setdefault((d, t, k), (*(r := shingles(t, k)), set(r[1])))
+            if bag.keys().isdisjoint(distinct):
+                continue
             width = min(m, n) - k + 1
             for at in range(len(s) - width + 1) if s else ():
                 here = collections.Counter(s[at : at + width])
