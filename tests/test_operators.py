@@ -301,3 +301,33 @@ def test_put_block_claim(spark):
     assert {r.idx: r.val for r in arrays.put(a, w).collect()}[5] == 50
     assert {r.idx: r.val for r in arrays.put(a, w).collect()}[3] is None
     assert sorted(r.idx for r in arrays.block(a, 4, 3).collect()) == [4, 5, 6]
+
+
+@pytest.mark.parametrize("block", [1 << 22, 300, 40])
+def test_triangles_beyond_a_broadcast_exchange_rows_not_wedges(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 100)
+    monkeypatch.setattr(graph, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(4)
+    star = [(0, i) for i in range(1, 400)] + [(400 + i, 400 + j) for i in range(20) for j in range(i)]
+    edges = sorted({(max(a, b), min(a, b)) for a, b in [*star, *map(tuple, rng.integers(300, 500, (900, 2)).tolist())] if a != b})
+    a = np.zeros((500, 500), int)
+    for r, c in edges:
+        a[r, c] = a[c, r] = 1
+    e = coo(spark, edges, 500).entries
+    for count in (graph.triangle_count, graph.triangles_lower, graph.triangles_upper, graph.triangles_push, graph.triangles_pull):
+        assert count(e).first().triangles == np.trace(a @ a @ a) // 6
+
+
+def test_triangles_of_a_clique_shuffle_little(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 100)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    m = 150
+    e = coo(spark, [(i, j) for i in range(m) for j in range(i)], m).entries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for count in (graph.triangles_lower, graph.triangles_upper, graph.triangle_count):
+            before = sent()
+            assert count(e).first().triangles == m * (m - 1) * (m - 2) // 6
+            assert sent() - before < 600_000, count.__name__  # 551,300 wedges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
