@@ -331,3 +331,30 @@ def test_triangles_of_a_clique_shuffle_little(spark, monkeypatch):
             assert sent() - before < 600_000, count.__name__  # 551,300 wedges
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_toposort_of_many_entries_needs_no_pass_a_level(spark, monkeypatch):
+    from lattica import session
+
+    monkeypatch.setattr(graph, "LOCAL_ENTRIES", 50)
+    m = coo(spark, [(i, i) for i in range(40)] + [(i, j) for i in range(40) for j in range(i + 1, min(40, i + 4))], 40)
+    since = session.written()
+    levels = graph.toposort_levels(m)
+    assert {r.row: r.level for r in levels.collect()} == {i: 39 - i for i in range(40)}
+    assert session.written() - since == 1
+
+
+def test_toposort_passes_keep_one_table_of_live_entries(spark):
+    from lattica import session
+
+    m = coo(spark, [(i, i) for i in range(6)] + [(i, i + 1) for i in range(5)], 6)
+    since = session.written()
+    assert {r.row: r.level for r in graph.toposort_levels(m, 0).collect()} == {i: 5 - i for i in range(6)}
+    assert session.written() - since == 6 + 1  # rows by level, and what is live
+
+
+def test_permute_broadcasts_the_permutations_not_the_entries(spark):
+    ids = spark.range(50).withColumnRenamed("id", "idx")
+    made = generators.morally_triangular(generators.er_naive(spark, 50, 0.5, 5, lower=False, diagonal=True), ids, 3)
+    plan = made.entries._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
