@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -24,6 +25,51 @@ def u32(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+_SINES = [int(abs(math.sin(t + 1)) * 4294967296) for t in range(64)]
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+
+
+def u32_of_numbers(before: bytes, digits: list[np.ndarray], after: bytes) -> np.ndarray:
+    """``u32`` of texts of up to 55 bytes that differ in a number: ``before``, the number's decimal digits (an array a place, the
+    first place first), ``after``. md5 on arrays, up to the step that gives the first 32 bits."""
+    size = len(before) + len(digits) + len(after)
+    if size > 55:
+        raise ValueError("a text of one block has 55 bytes at most")
+    block = before + bytes(len(digits)) + after + b"\x80" + bytes(55 - size) + (8 * size).to_bytes(8, "little")
+    words: list = [int.from_bytes(block[x : x + 4], "little") for x in range(0, 64, 4)]
+    for at, digit in enumerate(digits, len(before)):
+        words[at // 4] = words[at // 4] + ((digit.astype(np.uint32) + np.uint32(48)) << np.uint32(8 * (at % 4)))
+    n = len(digits[0])
+    a, b, c, d = (np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, g = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for t in range(61):
+        if t < 16:
+            at = t
+            np.bitwise_xor(d, np.bitwise_and(b, np.bitwise_xor(c, d, out=f), out=f), out=f)
+        elif t < 32:
+            at = (5 * t + 1) % 16
+            np.bitwise_xor(c, np.bitwise_and(d, np.bitwise_xor(b, c, out=f), out=f), out=f)
+        elif t < 48:
+            at = (3 * t + 5) % 16
+            np.bitwise_xor(d, np.bitwise_xor(b, c, out=f), out=f)
+        else:
+            at = 7 * t % 16
+            np.bitwise_xor(c, np.bitwise_or(b, np.invert(d, out=f), out=f), out=f)
+        f += a
+        if isinstance(words[at], int):
+            f += np.uint32((words[at] + _SINES[t]) & 0xFFFFFFFF)
+        else:
+            f += words[at]
+            f += np.uint32(_SINES[t])
+        turn = _TURNS[t // 16][t % 4]
+        np.left_shift(f, np.uint32(turn), out=g)
+        np.right_shift(f, np.uint32(32 - turn), out=f)
+        f |= g
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
 def coin(p: float, *parts) -> Column:
     """True with probability p, decided by the parts alone."""
     return u32(keyed(*parts)) < F.lit(round(p * (1 << 32)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.portable import coin, keyed, mix32, u32
+from lattica.functions.portable import keyed, mix32, u32, u32_of_numbers
 from lattica.operators.matrix import Matrix
 from lattica.operators.numbering import numbered
 
@@ -28,10 +29,31 @@ def rand_perm_bucketed(ids: DataFrame, seed: int, buckets: int = 64) -> DataFram
     return numbered(thrown, "newpos", [F.col("m"), F.col("idx")], F.struct(F.col("b"), F.substring("m", 1, 2))).select("idx", "newpos")
 
 
+def _dealt(spark: SparkSession, n: int) -> DataFrame:
+    """(id): 0 .. n - 1, dealt out at random."""
+    return spark.range(n).repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))), F.xxhash64("id"))
+
+
 def er_naive(spark: SparkSession, n: int, p: float, seed: int, lower: bool = True, diagonal: bool = False) -> Matrix:
-    """A coin for each cell of a triangle: row i explodes its own cells, so no pairs are formed that aren't tossed for."""
-    rows = spark.range(n).withColumnRenamed("id", "i")
-    cells = rows.select("i", F.explode(F.when(F.col("i") > 0, F.sequence(F.lit(0), F.col("i") - 1))).alias("j")).filter(coin(p, F.col("i"), F.col("j"), seed))
+    """A coin for each cell of a triangle: row i tosses for its own cells, so no pairs are formed that aren't tossed for. Rows are dealt
+    out at random, as row i has i cells; coins are ``portable.coin(p, i, j, seed)``, on arrays of ``most`` cells."""
+    below, after = round(p * (1 << 32)), f":{seed}".encode()
+
+    def run(batches: Iterator[pa.RecordBatch], most: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, length = sorted(batch.column("id").to_pylist()), 0, 1
+            while ids and at < ids[-1]:
+                to = min(at + most, 10**length, ids[-1])
+                js = np.arange(at, to)
+                digits = [js // 10**k % 10 for k in reversed(range(length))]
+                for i in ids[bisect_right(ids, at) :]:
+                    n = min(i, to) - at
+                    cols = js[:n][u32_of_numbers(f"{i}:".encode(), [x[:n] for x in digits], after) < below]
+                    if len(cols):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), i)), pa.array(cols)], ["i", "j"])
+                at, length = to, length + (to == 10**length)
+
+    cells = _dealt(spark, n).mapInArrow(run, "i long, j long")
     entries = cells.select(F.col("i").alias("row"), F.col("j").alias("col")) if lower else cells.select(F.col("j").alias("row"), F.col("i").alias("col"))
     if diagonal:
         entries = entries.union(spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col")))
@@ -62,8 +84,7 @@ def er_triangle(spark: SparkSession, n: int, p: float, seed: int, lower: bool =
                     if len(cols):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), i)), pa.array(cols.astype(np.int64))], ["row", "col"])
 
-    dealt = spark.range(n).repartition(max(1, min(n, int(spark.conf.get("spark.sql.shuffle.partitions")))), F.xxhash64("id"))
-    entries = dealt.mapInArrow(run, "row long, col long") if p > 0 and n > 1 else spark.createDataFrame([], "row long, col long")
+    entries = _dealt(spark, n).mapInArrow(run, "row long, col long") if p > 0 and n > 1 else spark.createDataFrame([], "row long, col long")
     if not lower:
         entries = entries.select(F.col("col").alias("row"), F.col("row").alias("col"))
     if diagonal:

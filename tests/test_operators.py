@@ -358,3 +358,19 @@ def test_permute_broadcasts_the_permutations_not_the_entries(spark):
     made = generators.morally_triangular(generators.er_naive(spark, 50, 0.5, 5, lower=False, diagonal=True), ids, 3)
     plan = made.entries._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=broadcast)") == 2
+
+
+def test_coins_on_arrays_are_those_of_sql(spark):
+    import hashlib
+
+    from lattica.functions.portable import u32_of_numbers
+
+    for i, js, seed in ((7, range(10), 0), (12345, range(100, 1000), 7), (10**12, range(10**9, 10**9 + 50), 10**6)):
+        digits = [np.array([int(str(j)[k]) for j in js]) for k in range(len(str(js[0])))]
+        got = u32_of_numbers(f"{i}:".encode(), digits, f":{seed}".encode())
+        assert got.tolist() == [int(hashlib.md5(f"{i}:{j}:{seed}".encode()).hexdigest()[:8], 16) for j in js]
+    head = lambda i, j: int(hashlib.md5(f"{i}:{j}:7".encode()).hexdigest()[:8], 16)
+    got = pairs(generators.er_naive(spark, 130, 0.1, 7))
+    assert got == [(i, j) for i in range(130) for j in range(i) if head(i, j) < round(0.1 * 2**32)]
+    for n, p, want in ((0, 0.5, 0), (1, 0.5, 0), (40, 0.0, 0), (40, 1.0, 780)):
+        assert generators.er_naive(spark, n, p, 7).nnz() == want
