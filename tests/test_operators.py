@@ -1,5 +1,7 @@
 """Properties, closed forms and small cases."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -374,3 +376,34 @@ def test_coins_on_arrays_are_those_of_sql(spark):
     assert got == [(i, j) for i in range(130) for j in range(i) if head(i, j) < round(0.1 * 2**32)]
     for n, p, want in ((0, 0.5, 0), (1, 0.5, 0), (40, 0.0, 0), (40, 1.0, 780)):
         assert generators.er_naive(spark, n, p, 7).nnz() == want
+
+
+def test_triangles_free_shuffle_files_before_rows_are_sent(spark, monkeypatch):
+    from lattica.session import free
+
+    monkeypatch.setattr(graph, "BROADCAST_EDGES", 100)
+    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    pairs = spark.range(4000).select((F.col("id") % 400 + 1).alias("row"), (F.col("id") * 7 % 300).alias("col")).filter("row > col").distinct()
+    left, dealt = [], graph._dealt
+
+    def waited(*args):
+        end = time.time() + 10  # files are deleted in the background
+        while shuffles() > before + 1 and time.time() < end:  # the ranges' own is the last query's
+            time.sleep(0.1)
+        left.append(shuffles() - before)
+        return dealt(*args)
+
+    monkeypatch.setattr(graph, "_dealt", waited)
+    spark.range(1).count()
+    free(spark)
+    time.sleep(1)
+    before = shuffles()
+    assert graph.triangles_upper(pairs).first().triangles == _brute(pairs)
+    assert len(left) == 1 and left[0] <= 1
+
+
+def _brute(pairs):
+    a = np.zeros((500, 500), int)
+    for r, c in pairs.collect():
+        a[r, c] = a[c, r] = 1
+    return np.trace(a @ a @ a) // 6
