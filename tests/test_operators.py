@@ -1,7 +1,5 @@
 """Properties, closed forms and small cases."""
 
-import time
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -379,31 +377,49 @@ def test_coins_on_arrays_are_those_of_sql(spark):
 
 
 def test_triangles_free_shuffle_files_before_rows_are_sent(spark, monkeypatch):
-    from lattica.session import free
-
     monkeypatch.setattr(graph, "BROADCAST_EDGES", 100)
-    shuffles = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
-    pairs = spark.range(4000).select((F.col("id") % 400 + 1).alias("row"), (F.col("id") * 7 % 300).alias("col")).filter("row > col").distinct()
-    left, dealt = [], graph._dealt
-
-    def waited(*args):
-        end = time.time() + 10  # files are deleted in the background
-        while shuffles() > before + 1 and time.time() < end:  # the ranges' own is the last query's
-            time.sleep(0.1)
-        left.append(shuffles() - before)
-        return dealt(*args)
-
-    monkeypatch.setattr(graph, "_dealt", waited)
-    spark.range(1).count()
-    free(spark)
-    time.sleep(1)
-    before = shuffles()
-    assert graph.triangles_upper(pairs).first().triangles == _brute(pairs)
-    assert len(left) == 1 and left[0] <= 1
-
-
-def _brute(pairs):
+    done, cut, free, dealt = [], graph.cut, graph.free, graph._dealt
+    for name, f in (("cut", cut), ("free", free), ("_dealt", dealt)):
+        monkeypatch.setattr(graph, name, lambda *a, name=name, f=f: (done.append(name), f(*a))[1])
+    drawn = spark.range(4000).select((F.col("id") % 400 + 1).alias("row"), (F.col("id") * 7 % 300).alias("col")).filter("row > col").distinct()
     a = np.zeros((500, 500), int)
-    for r, c in pairs.collect():
+    for r, c in drawn.collect():
         a[r, c] = a[c, r] = 1
-    return np.trace(a @ a @ a) // 6
+    assert graph.triangles_upper(drawn).first().triangles == np.trace(a @ a @ a) // 6
+    assert done == ["cut", "free", "cut", "cut", "free", "_dealt", "free"]  # edges; ranks and lists; rows sent
+
+
+def test_lists_leave_out_repeated_pairs(spark):
+    rng = np.random.default_rng(6)
+    drawn = [(int(u), int(v)) for u, v in rng.integers(0, 40, (5000, 2))]
+    got = {r.u: list(r.vs) for r in graph.lists(spark.createDataFrame(drawn, "u int, v int")).collect()}
+    assert got == {u: sorted({v for x, v in drawn if x == u}) for u in {u for u, _ in drawn}}
+
+
+@pytest.mark.parametrize("local, most", [(None, 1 << 29), (None, 0), (0, 1 << 29), (1 << 20, 1 << 29)])
+def test_levels_of_repeated_entries(spark, monkeypatch, local, most):
+    monkeypatch.setattr(graph, "LOCAL_BYTES", most)
+    rng = np.random.default_rng(8)
+    once = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 60, (300, 2))} | {(i, i) for i in range(60)})
+    again = mx.Matrix(coo(spark, once * 3, 60).entries, 60, 60)
+    assert sorted(graph.toposort_levels(again, local, repeats=True).collect()) == sorted(graph.toposort_levels(coo(spark, once, 60)).collect())
+
+
+def test_fewer_keeps_every_key(spark):
+    from lattica.operators.numbering import fewer
+
+    keys = spark.range(0, 30000, 1, 3).select((F.col("id") % 1000 - 500).alias("k"))
+    assert sorted(r.k for r in fewer(keys).distinct().collect()) == list(range(-500, 500))
+    assert fewer(keys).count() == 3000 and fewer(keys, 1).count() >= 3000
+    assert fewer(keys.filter("k > 500")).count() == 0
+
+
+def test_levels_of_a_table_exchange_lines_and_pairs_once(spark, small, monkeypatch):
+    from lattica.plans import inputs
+
+    plans = []
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    graph.toposort_levels(inputs.dag(spark, small, repeats=True), repeats=True)
+    initial = plans[0].split("== Initial Plan ==")[-1]
+    assert initial.count("Exchange hashpartitioning(l_orderkey") == 2 and initial.count("Exchange hashpartitioning") == 3  # one a side (one is reused), one by column
