@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.session import cut
+from lattica.session import cut, few
 
 RADIUS = 28
 #: Bags of so many shingles at least, three quarters of them distinct, are judged by their fingerprints first.
@@ -113,7 +113,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     whole = [F.when(F.size("words") == k, shingle_hashes(F.col("words"), k)) for k in range(1, size)]
     known = items.select("item_id", word_hashes(F.col("text")).alias("words")).select("item_id", F.size("words").alias("n"), F.coalesce(*whole, bag).alias("bag"))
     known = known.filter(F.size("bag") > 0).withColumn("width", F.least("n", F.lit(size))).withColumn("item", F.xxhash64("item_id", "bag")).dropDuplicates(["item"])
-    known = cut(known.select("item", "item_id", "n", "width", "bag", _flat(F.col("bag")).alias("flat"), _simhash(F.col("bag")).alias("print")))
+    known = cut(few(known, items.count()).select("item", "item_id", "n", "width", "bag", _flat(F.col("bag")).alias("flat"), _simhash(F.col("bag")).alias("print")))
     shingles = cut(known.select("item", "n", "width", F.explode(F.array_distinct("bag")).alias("h")))
     widths = [r.width for r in shingles.select("width").distinct().collect()]  # 1 to size
     found = [_windows(_seeds(docs, shingles, key, mark, size, w), percent) for w in sorted({size, *widths})]
@@ -125,13 +125,14 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     # the windows' shingles, from their documents alone; one of a short item is the item itself
     long = starts.filter(F.col("width") == size)
     wanted = long.select("row_mark", "n", "start", "total").distinct()
-    least = F.broadcast if wanted.count() <= BROADCAST else (lambda x: x)
+    n = wanted.count()
+    least = F.broadcast if n <= BROADCAST else (lambda x: x)
     rows = docs.select(mark.alias("row_mark"), "text").join(least(wanted.select("row_mark").distinct()), "row_mark", "left_semi").dropDuplicates(["row_mark"])
     rows = rows.select("row_mark", word_hashes(F.col("text")).alias("words")).select("row_mark", bag.alias("all"))
     windows = rows.join(wanted, "row_mark").select("row_mark", "n", "start", F.slice("all", F.col("start") + 1, F.col("total")).alias("bag"))
-    windows = cut(windows.withColumn("window", F.xxhash64("n", "bag")))
+    windows = cut(few(windows, n).withColumn("window", F.xxhash64("n", "bag")))
 
-    distinct = cut(windows.dropDuplicates(["window"]).select("window", "bag", _flat(F.col("bag")).alias("even"), _simhash(F.col("bag")).alias("p")))
+    distinct = cut(few(windows.dropDuplicates(["window"]), n).select("window", "bag", _flat(F.col("bag")).alias("even"), _simhash(F.col("bag")).alias("p")))
     at = ["row_mark", "n", "start"]
     hits = windows.select(*at, "window").join(long, at)
     near = ~F.col("flat") | ~F.col("even") | (F.bit_count(F.col("p").bitwiseXOR(F.col("print"))) <= radius)
@@ -144,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int
     exact = starts.filter(F.col("width") < size).select("key", "row_mark", "item", "start", F.lit(1.0).alias("similarity"))
     judged = hits.join(similar, ["window", "item"]).select("key", "row_mark", "item", "start", "similarity").union(exact).join(known.select("item", "item_id"), "item")
     best = F.max(F.struct("similarity", "start"))
-    found = judged.groupBy("key", "row_mark", "item_id").agg(best.alias("best"))
+    found = few(judged.groupBy("key", "row_mark", "item_id").agg(best.alias("best")), starts.count())
     return found.select(F.col("key").alias(key), "row_mark", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
 
 

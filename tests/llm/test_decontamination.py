@@ -125,3 +125,27 @@ def test_pipeline(spark, small):
     assert set(last["doc_id"]) <= {r.doc_id for r in now.collect()}
     assert last["doc_id"].value_counts().max() <= 3
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in last.groupby("shard"))
+
+
+def test_few_files_however_many_partitions(spark, monkeypatch):
+    docs, items = corpus()
+    files, cut = [], decontamination.cut
+
+    def counted(df):
+        out = cut(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(decontamination, "cut", counted)
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+        assert got.rdd.getNumPartitions() <= 4
+        assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in got.collect()} == brute(docs, items)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(files)[-2] <= 5  # all but the windows' starts, of which there is no bound ahead (an empty table has a file too)
