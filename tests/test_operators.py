@@ -423,3 +423,52 @@ def test_levels_of_a_table_exchange_lines_and_pairs_once(spark, small, monkeypat
     graph.toposort_levels(inputs.dag(spark, small, repeats=True), repeats=True)
     initial = plans[0].split("== Initial Plan ==")[-1]
     assert initial.count("Exchange hashpartitioning(l_orderkey") == 2 and initial.count("Exchange hashpartitioning") == 3  # one a side (one is reused), one by column
+
+
+def shuffled(spark):
+    """Bytes written for exchanges so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+@pytest.mark.parametrize("most", [1 << 29, 40 * 40_000])
+def test_levels_exchange_a_few_bytes_an_entry(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "LOCAL_BYTES", most)  # the second holds the ends, not the entries
+    n = 20_000
+    drawn = spark.range(1_000_000).select((F.xxhash64("id") % n).alias("a"), (F.xxhash64(-F.col("id")) % n).alias("b")).select(F.abs("a").alias("a"), F.abs("b").alias("b"))
+    upper = drawn.filter("a < b").select(F.col("a").alias("row"), F.col("b").alias("col")).union(spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("col")))
+    upper = upper.unionAll(upper.filter("row % 2 = 0"))
+    want, before = [0] * n, shuffled(spark)
+    levels = graph.toposort_levels(mx.Matrix(upper, n, n), repeats=True)
+    written, entries = shuffled(spark) - before, sorted({tuple(r) for r in upper.collect()}, reverse=True)
+    for r, c in entries:
+        if r < c:
+            want[r] = max(want[r], want[c] + 1)
+    assert {r.row: (r.col, r.level) for r in levels.collect()} == {i: (i, level) for i, level in enumerate(want)}
+    assert most < 1 << 29 or written < 5 * len(entries)
+
+
+def test_packed_pairs_come_back(spark):
+    rng = np.random.default_rng(9)
+    drawn = {(0, 0), (0, (1 << 31) - 1), (1, 0), (graph.PACKS, 0), (graph.PACKS, 5), (13_000_000, 7), (13_000_000, 13_000_000)}
+    drawn |= {(int(u), int(v)) for u, v in rng.integers(0, 3000, (4000, 2))} | {(17, v) for v in range(5000)}
+    rows = [pair for pair in drawn for _ in range(2)]
+    made = graph.packed(spark.createDataFrame(rows, "u int, v int").repartition(3))
+    assert made.agg(F.sum("n")).first()[0] == len(drawn)
+    assert sorted((r.col, r.row) for r in made.mapInArrow(graph._entries, "row long, col long").collect()) == sorted(drawn)
+    assert graph.packed(spark.createDataFrame([], "u int, v int")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 21])
+def test_packing_leaves_out_repeats_a_part_at_a_time(most):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    drawn = [rng.integers(0, 50, (k, 2)).astype(np.int32) for k in (5, 0, 1, 40, 300)]
+    got = list(graph._packed(most)(pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1])], ["u", "v"]) for d in drawn))
+    every = sorted((at, n, block) for b in got for at, n, block in zip(*(b.column(c).to_pylist() for c in ("at", "n", "block")), strict=True))
+    parts = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*every[k : k + 3], strict=True)], ["at", "n", "block"]) for k in range(0, len(every), 3)]
+    merged = list(graph._merged(iter(parts)))
+    back = [(int(u), int(v)) for us, vs, _ in graph._blocks(iter(merged)) for u, v in zip(us, vs, strict=True)]
+    assert sorted(back) == sorted({tuple(map(int, p)) for d in drawn for p in d})
